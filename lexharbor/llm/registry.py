@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, sharding
+from . import quality, secrets, sharding, tokenfiles
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, sharding.op9_extendible_sharding)}
+    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, tokenfiles.op5_token_tables, sharding.op9_extendible_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
