@@ -244,8 +244,8 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = stored(small.where("u <> v").distinct(), spark)
-        print_sig = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if print_sig(new) == print_sig(e):
+        signature = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if signature(new) == signature(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         e = new
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, secrets, sharding, tokenfiles
+from . import pieces, quality, secrets, sharding, simhash, tokenfiles
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, tokenfiles.op5_token_tables, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
+    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, tokenfiles.op5_token_tables, simhash.op7_simhash_bktree, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
