@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, secrets, sharding, simhash, tokenfiles
+from . import packing, pieces, quality, secrets, sharding, simhash, tokenfiles, topk
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, tokenfiles.op5_token_tables, simhash.op7_simhash_bktree, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
+    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, topk.op4_dual_tree_topk, tokenfiles.op5_token_tables, packing.op6_best_fit_packing, simhash.op7_simhash_bktree, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_extendible_sharding": sharding.SQL}
+    return {"op4_dual_tree_topk": topk.SQL, "op9_extendible_sharding": sharding.SQL}
