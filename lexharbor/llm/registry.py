@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, secrets, sharding, simhash, tokenfiles, topk
+from . import packing, pieces, pylm, quality, secrets, sharding, simhash, tokenfiles, topk
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (secrets.op1_secret_scans, quality.op3_quality_rules, topk.op4_dual_tree_topk, tokenfiles.op5_token_tables, packing.op6_best_fit_packing, simhash.op7_simhash_bktree, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
+    return {f.__name__: f for f in (secrets.op1_secret_scans, pylm.op2_pitman_yor, quality.op3_quality_rules, topk.op4_dual_tree_topk, tokenfiles.op5_token_tables, packing.op6_best_fit_packing, simhash.op7_simhash_bktree, pieces.op8_sentencepiece, sharding.op9_extendible_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
