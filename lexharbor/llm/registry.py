@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, pylm, quality, secrets, sharding, simhash, tokenfiles, topk
+from . import packing, passages, pieces, pylm, quality, secrets, sharding, simhash, tokenfiles, topk
 
 
 def queries() -> dict:
