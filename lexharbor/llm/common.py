@@ -142,9 +142,18 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the text, with null texts made empty; all other columns are pruned from the scan."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's bytes per Arrow batch: a batch exists in the JVM, on the wire and in Python at once, so its
+    size, not the number of rows, must be bounded where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the shared folder of the session.  Only where none is set, as in tests, is one made."""
     top = spark.conf.get("spark.checkpoint.dir", None)
