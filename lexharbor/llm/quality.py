@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _SPACE, chunks, mix, per_doc, prefix_hash, read, schema, span_hash, stored, table, texts
+from .common import U64, _SPACE, chunks, mix, per_doc, prefix_hash, read, schema, small_batches, span_hash, stored, table, texts
 
 TREES, PSI, POOL, BINS, MAX_GOOD, SEED = 100, 256, 8192, 2000, 0.03, 17
 WINDOW = 8
@@ -144,12 +144,27 @@ class Forest:
         return 2.0 ** (-total / len(self.roots) / max(_average(self.psi), 1e-9))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, score and kept."""
-    spark = docs.sparkSession
-    stats = stored(rule_counts(docs), spark)
+FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
+    """The forest and its threshold from the counts of all rows and the labelled rows (doc_id, quality)."""
     pool = stats.where("n_words >= 20").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL).toPandas()
     forest = Forest(features(pool.__getitem__)) if len(pool) else Forest(np.zeros((0, 6)))
+    known = stats.where(f"not ({FAILED})").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").withColumn("score", scorer(forest)(*COUNTS.names[1:]))
+    bins = known.groupBy(F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).alias("bin"), (F.col("quality") > 0).alias("good")).count().collect()
+    good, bad = np.zeros(BINS), np.zeros(BINS)
+    for r in bins:
+        (good if r.good else bad)[r.bin] += r["count"]
+    threshold = 2.0
+    if good.sum() and bad.sum():
+        lost, caught = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (good, bad))  # by the first bin rejected
+        threshold = float(np.argmax(np.where(lost <= MAX_GOOD, caught - lost, -1.0)) / BINS)
+    return forest, threshold
+
+
+def scorer(forest: Forest):
+    """A column function of the counts."""
     names = COUNTS.names[1:]
 
     @F.pandas_udf("double")
@@ -158,18 +173,35 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return pd.Series(forest.score(features(dict(zip(names, cols)).__getitem__)))
 
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = stored(stats.withColumn("base_failed", failed).withColumn("score", score(*names)), spark)
-    known = scored.where("not base_failed").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    bins = known.groupBy(F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).alias("bin"), (F.col("quality") > 0).alias("good")).count().collect()
-    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
-    for r in bins:
-        (good if r.good else bad)[r.bin] += r["count"]
-    threshold = 2.0
-    if good.sum() and bad.sum():
-        lost, caught = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (good, bad))  # by the first bin rejected
-        threshold = float(np.argmax(np.where(lost <= MAX_GOOD, caught - lost, -1.0)) / BINS)
-    return scored.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold))
+    return score
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, score and kept."""
+    stats = stored(rule_counts(docs), docs.sparkSession)
+    forest, threshold = fit(stats, labels)
+    scored = stats.withColumn("base_failed", F.expr(FAILED)).withColumn("score", scorer(forest)(*COUNTS.names[1:]))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < threshold))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that the rules and the forest keep, with their columns.  The counts are taken again where the rows are
+    read, so no text is shuffled."""
+    import pyarrow as pa
+
+    forest, threshold = fit(stored(rule_counts(docs), docs.sparkSession), labels)
+    at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b.column(at)):
+                n = counts(c)
+                failed = (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
+                keep = ~failed & (forest.score(features(n.__getitem__)) < threshold)
+                yield b.slice(c.lo, len(c)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
