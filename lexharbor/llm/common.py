@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 U64 = np.uint64
 #: Bytes of text that one chunk holds at most, unless a single document is longer.
 CHUNK_BYTES = 4 << 20
+#: Bytes that one pass of the span hash takes at once, unless a single span is longer.
+HASH_BYTES = 1 << 20
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _STEP, _BACK = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
@@ -44,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64, kept for the largest length so far."""
     global _powers
     if _powers is None or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
+        size = max(n + 1, HASH_BYTES + 1)
         a, b = np.full(size, _STEP), np.full(size, _BACK)
         a[0] = b[0] = 1
         _powers = np.cumprod(a), np.cumprod(b)
@@ -63,6 +65,18 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
 
 
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of spans with rising starts and ends, block by block, so that the sums stay small beside the text."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, lo + HASH_BYTES)))
+        prefix = prefix_hash(buf[lo : int(ends[j - 1])])
+        out[i:j] = span_hash(prefix, starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
 class Chunk:
     """Some whole documents: their rows in the batch, one byte buffer and the documents' offsets in it."""
 
@@ -94,7 +108,7 @@ class Chunk:
         return s, np.flatnonzero(end) + 1, np.searchsorted(self.offs, s, "right") - 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return span_hash(prefix_hash(self.buf), starts, ends)
+        return spans_hash(self.buf, starts, ends)
 
 
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES):
@@ -179,6 +193,26 @@ def stored(df: DataFrame, spark: SparkSession | None = None, codec: str = "zstd"
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """The task function, with freed memory given back to the system: workers stay alive between tasks, and what one
+    operator's peak leaves in an idle worker would count against the next one's."""
+
+    def wrapped(batches):
+        import ctypes
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and unmapped when freed
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def drop(spark: SparkSession, df: DataFrame | None = None) -> None:
     """Deletes the scratch tables of this process (or those that df reads) once no lazy result reads them."""
     gone = [p for p in _written if df is None or any(p in f for f in df.inputFiles())]
@@ -240,6 +274,19 @@ def by_key(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
+def by_bucket(batches):
+    """From the rows (bucket, gid, kind, payload) of a partition, unsorted: one list of (gid, kind, payload, bucket) per
+    bucket, in order of gid.  A partition holds the compressed payloads of few buckets, so they are kept here instead of
+    being sorted in the JVM."""
+    held: dict[int, list[tuple]] = {}
+    for b in batches:
+        c = {n: b.column(b.schema.get_field_index(n)) for n in ("bucket", "gid", "kind", "payload")}
+        for k, g, kind, data in zip(*(c[n].to_pylist() for n in ("bucket", "gid", "kind", "payload"))):
+            held.setdefault(k, []).append((g, kind, data, k))
+    for k in sorted(held):
+        yield sorted(held.pop(k), key=lambda x: x[:2])
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Connected components of an undirected edge table (a long, b long): (node, root), root the smallest node of the
     component.  Alternates large-star and small-star rounds: each groups by node with map-side minima, so a hub costs

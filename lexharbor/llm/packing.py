@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, per_doc, read, schema, table, texts
+from .common import by_key, chunks, per_doc, read, released, schema, table, texts
 
 LENGTHS, BEND, SHARD = (512, 1024, 2048, 4096, 8192), 16384, 20_000
 LENS = schema("doc_id:long,n_tokens:long")
@@ -36,7 +36,7 @@ def token_lengths(docs: DataFrame) -> DataFrame:
                 _, _, d = c.words()
                 yield table(LENS, doc_id=b.column(0).slice(c.lo, len(c)), n_tokens=per_doc(np.ones(len(d)), d, len(c)) + 1)
 
-    return texts(docs).mapInArrow(run, LENS)
+    return texts(docs).mapInArrow(released(run), LENS)
 
 
 def cost(c: int, bend: float = BEND) -> float:
@@ -103,7 +103,7 @@ def pack_documents(lens: DataFrame, lengths: tuple[int, ...] = LENGTHS, bend: fl
             ids = t["doc_id"].combine_chunks().take(doc[order])
             yield table(PLACED, doc_id=ids, piece=piece[order], n_tokens=size[order], bin_id=(np.int64(s) << 32) + bins, bin_capacity=final[bins], bin_offset=at, bin_used=used[bins])
 
-    return rows.mapInArrow(run, PLACED)
+    return rows.mapInArrow(released(run), PLACED)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import U64, Chunk, chunks, mix, powers, ragged, read, schema, table, texts, tokenizer_file
+from .common import Chunk, U64, chunks, mix, powers, ragged, read, released, schema, table, texts, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -294,7 +294,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, end: bool = True) -
                 at = np.concatenate([[0], np.cumsum(per)])
                 yield table(out, doc_id=b.column(0).slice(c.lo, len(c)), ids=[ids[i:j].tolist() + tail for i, j in zip(at, at[1:])])
 
-    return texts(docs).mapInArrow(run, out)
+    return texts(docs).mapInArrow(released(run), out)
 
 
 def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -306,7 +306,7 @@ def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
         for b in batches:
             yield table(out, doc_id=b.column(0), text=[lib.decode(x or []) for x in b.column(1).to_pylist()])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, out)
+    return rows.select("doc_id", "ids").mapInArrow(released(run), out)
 
 
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -328,7 +328,7 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
                     d.append(hashlib.sha256(lib.decode(own).encode()).hexdigest())
                 yield table(IDS, doc_id=b.column(0).slice(c.lo, len(c)), n_tokens=n, ids_sha256=a, decoded_sha256=d)
 
-    return texts(docs).mapInArrow(run, IDS)
+    return texts(docs).mapInArrow(released(run), IDS)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _SPACE, chunks, mix, per_doc, prefix_hash, read, schema, small_batches, span_hash, stored, table, texts
+from .common import _SPACE, U64, chunks, mix, per_doc, read, released, schema, small_batches, stored, table, texts
 
 TREES, PSI, POOL, BINS, MAX_GOOD, SEED = 100, 256, 8192, 2000, 0.03, 17
 WINDOW = 8
@@ -50,8 +50,7 @@ def counts(chunk) -> dict[str, np.ndarray]:
     s, e, d = chunk.words()
     edges = np.zeros(n, np.int64)
     total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[chunk.offs]) if len(buf) else edges
-    prefix = prefix_hash(buf)
-    h = span_hash(prefix, s, e)
+    h = chunk.hashes(s, e)
     words = per_doc(np.ones(len(d)), d, n)
     out = {"n_words": words, "word_chars": total(_CHAR[buf]), "n_symbols": total(_SYMBOL[buf]), "n_upper": total(_UPPER[buf]), "n_digits": total(_DIGITS[buf])}
     # lines
@@ -63,7 +62,7 @@ def counts(chunk) -> dict[str, np.ndarray]:
     ld = np.searchsorted(chunk.offs, ls, "right") - 1
     le = le - ((le > ls) & (buf[np.maximum(le - 1, 0)] == 10) if len(ls) else 0)
     filled = np.searchsorted(s, le) > np.searchsorted(s, ls)
-    _, later = _again(span_hash(prefix, ls[filled], le[filled]), ld[filled])
+    _, later = _again(chunk.hashes(ls[filled], le[filled]), ld[filled])
     out |= {"n_lines": per_doc(filled, ld, n), "n_dup_lines": per_doc(later, ld[filled], n)}
     # windows of 8 words
     repeated = np.zeros(len(h) + 1, np.int32)
@@ -88,7 +87,7 @@ def rule_counts(docs: DataFrame) -> DataFrame:
             for c in chunks(b.column(1)):
                 yield table(COUNTS, doc_id=b.column(0).slice(c.lo, len(c)), **counts(c))
 
-    return texts(docs).mapInArrow(run, COUNTS)
+    return texts(docs).mapInArrow(released(run), COUNTS)
 
 
 def features(get) -> np.ndarray:
@@ -201,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = ~failed & (forest.score(features(n.__getitem__)) < threshold)
                 yield b.slice(c.lo, len(c)).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, read, schema, table, texts
+from .common import chunks, read, released, schema, table, texts
 
 #: Least marginal bytes per character, and characters of context before, after and between word and candidate.
 NOVELTY, BEFORE, AFTER, REACH = 0.55, 512, 128, 48
@@ -121,7 +121,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     said.append(joined(base + new))
                 yield table(SPANS, doc_id=ids.slice(c.lo, len(c)), n_assign=n[0], n_access=n[1], n_hex=n[2], n_novel=n[3], base_sha256=sha, spans=said)
 
-    return texts(docs).mapInArrow(run, SPANS)
+    return texts(docs).mapInArrow(released(run), SPANS)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -150,7 +150,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             cols[at] = pa.array(new, kinds.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=kinds)
 
-    done = docs.mapInArrow(run, out)
+    done = docs.mapInArrow(released(run), out)
     return done.withColumn("n_chars", F.length("text").cast(out["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER, U64, Chunk, _written, chunks, ragged, read, schema, scratch, stored, table, texts, tokenizer_file
+from .common import Chunk, LOWER, U64, chunks, ragged, read, released, schema, scratch, stored, table, texts, tokenizer_file, _written
 
 MODEL, END = "word_bpe_49k.json", 1
 BLOCK, SHARD, BITS_PER_KEY, HASHES = 64 << 10, 8 << 20, 10, 7
@@ -286,7 +286,7 @@ def write_tables(docs: DataFrame, path: str, model: str | None = None, end: int
 
     rows = texts(docs).repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     # The text writer ends a row with the separator: the last 8 bytes of a file, its magic.
-    shards = rows.mapInArrow(run, schema("content:binary")).select(F.expr("substring(content, 1, length(content) - 8)").cast("string").alias("value"))
+    shards = rows.mapInArrow(released(run), schema("content:binary")).select(F.expr("substring(content, 1, length(content) - 8)").cast("string").alias("value"))
     shards.write.option("lineSep", MAGIC.decode()).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
@@ -312,7 +312,7 @@ def read_tables(spark, path: str, with_ids: bool = False) -> DataFrame:
                     before += len(ids)
                 yield table(out, **cols)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, out)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(released(run), out)
 
 
 def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
@@ -326,7 +326,7 @@ def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
                 got = [(k, x.tolist()) for k in doc_ids for x in r.lookup(k)]
                 yield table(out, doc_id=[k for k, _ in got], ids=[x for _, x in got])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, out)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(released(run), out)
 
 
 def token_offsets(spark, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_key, read, schema, stored, table
+from .common import by_key, read, released, schema, stored, table
 
 K, SCALE, EVERY, BLOCK, QUERIES, LEAF, FAN = 5, 256, 50, 32768, 8192, 128, 16
 FOUND = schema("query_id:long,vec_id:long,score:long")
@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
             yield table(FOUND, query_id=a, vec_id=b, score=s)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return tiles.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return tiles.mapInArrow(released(run), FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def whole_vectors(df: DataFrame, scale: int = SCALE) -> DataFrame:
