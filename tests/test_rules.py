@@ -59,7 +59,7 @@ def test_scans(spark):
 
 
 def test_language(spark):
-    d = spark.createDataFrame([(1, "the of and to in a is that"), (2, "el la de que y en los del"), (3, "the of and to"), (4, ""), (5, None), (6, "de"), (7, "foo " * 400 + "the of and to in a is that")], "i int, text string")
+    d = spark.createDataFrame([(1, "the of and to in a is that"), (2, "el la de que y en los del"), (3, "the of and was"), (4, ""), (5, None), (6, "de"), (7, "foo " * 400 + "the of and to in a is that")], "i int, text string")
     out = {r.i: (r.lang, r.en_share) for r in language.guess(d, ["i"]).collect()}
     assert out[1][0] == "en" and out[2][0] == "es" and out[3][0] == "und" and math.isnan(out[4][1]) and out[5][0] == "und" and out[7][0] == "und"
     assert out[6][0] == "es"  # one word in five lists casts five votes; the first list wins the tie
