@@ -94,12 +94,10 @@ def tei_body(xml: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """HTML character references: the five common ones in the JVM, and only texts that still hold another one go
-    through a vectorised function."""
-    import pandas as pd
+    """HTML character references become characters; the value of a text without any stays as it is."""
 
     @F.pandas_udf("string")
-    def rest(s: pd.Series) -> pd.Series:
+    def rest(s):
         import html
 
         return s.map(html.unescape, na_action="ignore")
