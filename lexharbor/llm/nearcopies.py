@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_key, chunks, components, mix, read, schema, stored, table, texts  # noqa: F401
+from .common import U64, by_key, chunks, components, mix, read, released, schema, stored, table, texts
 from .passages import rolled, text_array
-from .simhash import TREE, BKTree, _find
+from .simhash import TREE, BKTree
 
 SHINGLE, SIMILAR, REACH, KEYS, SKETCH, LIKELY = 5, 0.8, 18, 8, 64, 0.6
 DIGESTS = schema("doc_id:long,th:long,fp:long,keys:longs,sketch:binary")
@@ -49,7 +49,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     sketch.append(small[:SKETCH].tobytes())
                 yield table(DIGESTS, doc_id=b.column(0).slice(c.lo, len(c)), th=th, fp=fp.view(np.int64), keys=keys, sketch=sketch)
 
-    return texts(docs).mapInArrow(run, DIGESTS)
+    return texts(docs).mapInArrow(released(run), DIGESTS)
 
 
 def _like(a: bytes, b: bytes) -> float:
@@ -61,24 +61,14 @@ def _like(a: bytes, b: bytes) -> float:
 
 def link_shard(ids: list[int], fps: list[int], sketches: list[bytes], own: list[bool]) -> list[tuple[int, int]]:
     """Links among the own rows and from each other row to the own components near it."""
-    tree, at, up, out = BKTree(), [], [], []
+    tree, at, out = BKTree(), [], []
     for i in [k for k in range(len(ids)) if own[k]] + [k for k in range(len(ids)) if not own[k]]:
-        x, seen = fps[i] & (1 << 64) - 1, set()
-        near = tree.near(x, REACH)
-        me = None
+        x = fps[i] & (1 << 64) - 1
+        near = tree.search(x, REACH, lambda n: _like(sketches[i], sketches[at[n]]) >= LIKELY)  # noqa: B023
+        out += [(ids[i], ids[at[n]]) for n in near]
         if own[i]:
-            me = tree.add(x)
+            tree.add(x, near)
             at.append(i)
-            up.append(me)
-        for n in near:
-            r = _find(up, n)
-            if r in seen or (me is not None and r == _find(up, me)):
-                continue
-            if _like(sketches[i], sketches[at[n]]) >= LIKELY:
-                out.append((ids[i], ids[at[n]]))
-                seen.add(r)
-                if me is not None:
-                    up[r] = _find(up, me)
     return out
 
 
@@ -102,7 +92,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             if got:
                 yield table(LINKS, a=[min(x) for x in got], b=[max(x) for x in got])
 
-    pairs = stored(met.select("k", "key", "shard", "home", "doc_id", "fp", "sketch").mapInArrow(run, LINKS).distinct(), spark)
+    pairs = stored(met.select("k", "key", "shard", "home", "doc_id", "fp", "sketch").mapInArrow(released(run), LINKS).distinct(), spark)
     edges = verified(docs, pairs)
     roots = components(edges, spark)
     member = one.select("th", "doc_id").join(roots, one["doc_id"] == roots["node"], "left").select("th", F.coalesce("root", "doc_id").alias("component_id"))
@@ -112,7 +102,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts have the similarity."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("x"), "a", "b").select("x.doc_id", "x.side", "a", "b")
-    met = ends.join(texts(docs).where("doc_id is not null"), "doc_id").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    met = ends.hint("shuffle_hash").join(texts(docs).where("doc_id is not null"), "doc_id").repartition("a", "b").sortWithinPartitions("a", "b", "side")
 
     def run(batches):
         for (a, b), t in by_key(batches, ["a", "b"]):
@@ -128,11 +118,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             if both >= SIMILAR * (len(x) + len(y) - both):
                 yield table(LINKS, a=[a], b=[b])
 
-    return stored(met.select("a", "b", "side", "text").mapInArrow(run, LINKS), docs.sparkSession)
+    return stored(met.select("a", "b", "side", "text").mapInArrow(released(run), LINKS), docs.sparkSession)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each group of near copies.  Rows with a null key
     stay."""
     gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

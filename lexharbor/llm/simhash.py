@@ -9,7 +9,7 @@ small, and each choice finds all pairs.
 In a group, a BK-tree holds the fingerprints seen so far: children are keyed by their Hamming distance to the parent,
 and a search follows only the edges within the radius of its own distance.  A group over TREE rows is dealt into shard
 trees of at most TREE fingerprints on average; each fingerprint is kept in one shard and sought in all of them.  A
-search ends in the tree's own union-find, and a shard emits one link per fingerprint (to its root), never all pairs.
+search joins components of the tree's own union-find, and a shard emits one link per fingerprint (to its root), never all pairs.
 
 Defined cases.  Null text: empty, fingerprint zero, linked like any other.  Empty table: no rows.  Repeated rows share
 a fingerprint.  Ties of a bit (exactly half) give 0.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, components, read, schema, stored, table, texts
+from .common import by_key, chunks, components, read, released, schema, stored, table, texts
 
 SHINGLE, RADIUS, SEED, TREE = 4, 4, 42, 4000
 PRINTS = schema("doc_id:long,fp:long")
@@ -54,68 +54,69 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     out[i] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
                 yield table(PRINTS, doc_id=b.column(0).slice(c.lo, len(c)), fp=out.view(np.int64))
 
-    return texts(docs).mapInArrow(run, PRINTS)
+    return texts(docs).mapInArrow(released(run), PRINTS)
 
 
 class BKTree:
-    """Nodes in lists; children of a node keyed by distance."""
+    """Nodes in lists; children of a node keyed by distance.  Nodes also form components (`up`, a union-find), and a
+    node knows if its whole subtree is of one component: a search that has met that component skips the subtree, so a
+    dense group of near copies costs a path and not all its pairs."""
 
     def __init__(self):
-        self.value, self.child = [], []
-
-    def add(self, x: int) -> int:
-        at = 0
-        if self.value:
-            while True:
-                d = (self.value[at] ^ x).bit_count()
-                below = self.child[at].get(d)
-                if below is None:
-                    self.child[at][d] = len(self.value)
-                    break
-                at = below
-        self.value.append(x)
-        self.child.append({})
-        return len(self.value) - 1
-
-    def near(self, x: int, radius: int) -> list[int]:
-        """Node numbers within the radius."""
-        if not self.value:
-            return []
-        found, todo, value, child = [], [0], self.value, self.child
+        self.value, self.child, self.up, self.mono = [], [], [], []
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def search(self, x: int, radius: int, accept=None) -> list[int]:
+        """One node within the radius (and accepted) of every component that has one."""
+        found, seen, todo, value, child, mono, find = [], set(), [0] if self.value else [], self.value, self.child, self.mono, self.find
         while todo:
             at = todo.pop()
+            if seen and mono[at] >= 0 and find(mono[at]) in seen:
+                continue
             d = (value[at] ^ x).bit_count()
             if d <= radius:
-                found.append(at)
+                r = find(at)
+                if r not in seen and (accept is None or accept(at)):
+                    seen.add(r)
+                    found.append(at)
             below = child[at]
             if below:
                 lo, hi = d - radius, d + radius
                 todo += [v for k, v in below.items() if lo <= k <= hi]
         return found
 
-
-def _find(up: list[int], i: int) -> int:
-    while up[i] != i:
-        up[i] = up[up[i]]
-        i = up[i]
-    return i
+    def add(self, x: int, linked: list[int]) -> int:
+        """A new node, in one component with the linked ones."""
+        i = len(self.value)
+        self.value.append(x)
+        self.child.append({})
+        self.up.append(i)
+        self.mono.append(i)
+        for n in linked:
+            self.up[self.find(n)] = i
+        at = 0
+        while at != i:
+            if self.mono[at] >= 0 and self.find(self.mono[at]) != i:
+                self.mono[at] = -1
+            d = (self.value[at] ^ x).bit_count()
+            at = self.child[at].setdefault(d, i)
+        return i
 
 
 def link_group(own: np.ndarray, asking: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (to the root) among the distinct own fingerprints and of the asking ones to them."""
-    tree, up, out = BKTree(), [], []
-    for x in own.tolist():
-        got = tree.near(x & (1 << 64) - 1, radius)
-        i = tree.add(x & (1 << 64) - 1)
-        up.append(i)
-        for j in got:
-            up[_find(up, j)] = _find(up, i)
-    signed = own.tolist()
-    roots = [_find(up, i) for i in range(len(up))]
-    out += [(signed[i], signed[r]) for i, r in enumerate(roots) if i != r]
+    tree, signed, full = BKTree(), own.tolist(), (1 << 64) - 1
+    for x in signed:
+        tree.add(x & full, tree.search(x & full, radius))
+    out = [(x, signed[tree.find(i)]) for i, x in enumerate(signed) if tree.find(i) != i]
     for x in asking.tolist():
-        for r in {roots[j] for j in tree.near(x & (1 << 64) - 1, radius)}:
-            out.append((x, signed[r]))
+        out += [(x, signed[n]) for n in tree.search(x & full, radius)]
     return out
 
 
@@ -157,7 +158,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFram
                 got = []
         yield table(out, a=[x for x, _ in got], b=[x for _, x in got])
 
-    return dealt.mapInArrow(run, out).distinct()
+    return dealt.mapInArrow(released(run), out).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
