@@ -77,17 +77,19 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], novelty:
             return out
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keeps offsets
     for w in _WORD.finditer(low):
-        m = _RUN.search(text, w.end())
-        if not m or m.start() - w.end() > REACH or m.start() in seen:
-            continue
-        seen.add(m.start())
-        s, e = m.start(), m.end()
-        while e > s and text[e - 1] in ".-":
-            e -= 1
-        if e - s < 16 or any(b[0] < e and s < b[2] for b in base) or not (_DIGIT.search(text, s, e) and _ALPHA.search(text, s, e)):
-            continue
-        if novelty.of(text, s, e) >= NOVELTY:
-            out.append((s, 3, e))
+        for m in _RUN.finditer(text, w.end()):
+            if m.start() - w.end() > REACH:
+                break
+            if m.start() in seen:
+                continue
+            seen.add(m.start())
+            s, e = m.start(), m.end()
+            while e > s and text[e - 1] in ".-":
+                e -= 1
+            if e - s < 16 or any(b[0] < e and s < b[2] for b in base) or not (_DIGIT.search(text, s, e) and _ALPHA.search(text, s, e)):
+                continue
+            if novelty.of(text, s, e) >= NOVELTY:
+                out.append((s, 3, e))
     return out
 
 

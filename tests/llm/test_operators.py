@@ -350,3 +350,11 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     known = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert out and {r.doc_id for r in out} <= known and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+
+
+def test_secrets_after_a_first_run(spark):
+    key = "x9QfT2mLr8VbZk4WcY7pHs3NdJ6gAe1U"
+    cases = [f"secret_key_for_production = '{key}' ok", f"password for https://db.example.com/admin is {key} ok", f"password {'x' * 48} {key}"]
+    out = table(secrets.find_secrets(made(spark, cases)), "doc_id", "spans")
+    assert [out[i][0] for i in (0, 1)] == [f"novel:{c.index(key)}:{c.index(key) + len(key)}" for c in cases[:2]] and out[2][0] == ""  # the last key stands beyond the reach
+    assert all(key not in x[0] for k, x in table(secrets.redact(made(spark, cases)), "doc_id", "text").items() if k < 2)
