@@ -352,6 +352,18 @@ def test_pipeline(spark, sf):
     assert out and {r.doc_id for r in out} <= known and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
 
 
+def test_near_copies_beside_a_loose_one(spark):
+    """A row under the similarity that both near copies are close to must not keep them from meeting."""
+    r = random.Random(17)
+    cases = []
+    for _ in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        loose = [f"e{i}" if i % 26 == 12 else x for i, x in enumerate(w)]
+        cases += [loose, w, [*w[:100], "edit", *w[101:]]]
+    out = {k: v[0] for k, v in table(nearcopies.near_copies(made(spark, [" ".join(x) for x in cases])), "doc_id", "component_id").items()}
+    assert out == {i: i - (i % 3 == 2) for i in range(180)}
+
+
 def test_secrets_after_a_first_run(spark):
     key = "x9QfT2mLr8VbZk4WcY7pHs3NdJ6gAe1U"
     cases = [f"secret_key_for_production = '{key}' ok", f"password for https://db.example.com/admin is {key} ok", f"password {'x' * 48} {key}"]
