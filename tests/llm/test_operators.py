@@ -370,3 +370,17 @@ def test_secrets_after_a_first_run(spark):
     out = table(secrets.find_secrets(made(spark, cases)), "doc_id", "spans")
     assert [out[i][0] for i in (0, 1)] == [f"novel:{c.index(key)}:{c.index(key) + len(key)}" for c in cases[:2]] and out[2][0] == ""  # the last key stands beyond the reach
     assert all(key not in x[0] for k, x in table(secrets.redact(made(spark, cases)), "doc_id", "text").items() if k < 2)
+
+
+def test_alignment_keeps_a_passage_before_a_stray_phrase():
+    """A near-duplicate passage whose chain runs on over a gap to one more common shingle."""
+    r = np.random.default_rng(23)
+    new = lambda n: r.integers(0, 1 << 62, n).astype(np.uint64)
+    p, phrase = new(50), new(5)
+    edited = np.concatenate([p[:25], new(1), p[26:]])
+    for front in (False, True):
+        a, b = [p, new(8), phrase], [edited, new(8), phrase]
+        a, b = (a[::-1], b[::-1]) if front else (a, b)
+        x, y = (passages.rolled(np.concatenate([new(30), *w, new(40)]), passages.SHINGLE) for w in (a, b))
+        at = 30 + 13 * front
+        assert passages.align(x, y) == [(at, at + 50, at, at + 50)]
