@@ -384,3 +384,15 @@ def test_alignment_keeps_a_passage_before_a_stray_phrase():
         x, y = (passages.rolled(np.concatenate([new(30), *w, new(40)]), passages.SHINGLE) for w in (a, b))
         at = 30 + 13 * front
         assert passages.align(x, y) == [(at, at + 50, at, at + 50)]
+
+
+def test_passages_of_fifty_words_with_an_edit(spark):
+    """The least passage, with an edit in its middle (similarity 0.804) or near an end."""
+    r = random.Random(29)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    cases = []
+    for i in range(60):
+        p = words(50)
+        cases += [words(20 + i) + p + words(30), words(70) + [*p[: 8 + i % 35], "edit", *p[9 + i % 35 :]] + words(i)]
+    got = {tuple(x) for x in passages.candidate_pairs(made(spark, [" ".join(x) for x in cases])).collect()}
+    assert got == {(i, i + 1) for i in range(0, 120, 2)}
