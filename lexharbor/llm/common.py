@@ -22,10 +22,9 @@ from pyspark.sql import types as T
 U64 = np.uint64
 #: Bytes of text that one chunk holds at most, unless a single document is longer.
 CHUNK_BYTES = 4 << 20
-#: Bytes that one pass of the span hash takes at once, unless a single span is longer.
+#: Symbols that one pass of the span hash takes at once, unless a single span is longer.
 HASH_BYTES = 1 << 20
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_STEP, _BACK = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_SALT = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -39,40 +38,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, kept for the largest length so far."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        size = max(n + 1, HASH_BYTES + 1)
-        a, b = np.full(size, _STEP), np.full(size, _BACK)
-        a[0] = b[0] = 1
-        _powers = np.cumprod(a), np.cumprod(b)
-    return _powers
-
-
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums whose differences are polynomial hashes; see span_hash."""
-    out = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_TABLE[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; equal bytes give equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
-
-
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """span_hash of spans with rising starts and ends, block by block, so that the sums stay small beside the text."""
+def spans_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint spans with rising starts; equal symbols (under 2^24) give equal hashes wherever they
+    stand.  A symbol is mixed with its place in its span and the mixed values are added up, so, other than for
+    polynomials modulo 2^64, no regular pair of spans has equal hashes.  Block by block, so that the sums stay small
+    beside the text."""
     out, i = np.empty(len(starts), U64), 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, lo + HASH_BYTES)))
-        prefix = prefix_hash(buf[lo : int(ends[j - 1])])
-        out[i:j] = span_hash(prefix, starts[i:j] - lo, ends[i:j] - lo)
+        hi = int(ends[j - 1])
+        place = np.arange(hi - lo) - np.repeat(starts[i:j] - lo, np.diff(np.append(starts[i:j], hi)))
+        total = np.zeros(hi - lo + 1, U64)
+        np.cumsum(mix((place.astype(U64) << U64(24)) + symbols[lo:hi].astype(U64) + _SALT), out=total[1:])
+        out[i:j] = mix(total[ends[i:j] - lo] - total[starts[i:j] - lo])
         i = j
     return out
 

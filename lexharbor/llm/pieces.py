@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Chunk, U64, chunks, mix, powers, ragged, read, released, schema, table, texts, tokenizer_file
+from .common import Chunk, U64, chunks, ragged, read, released, schema, spans_hash, table, texts, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -212,11 +212,7 @@ class PieceEncoder:
         e = np.append(s[1:], n)
         docs = np.searchsorted(offs, s, "right") - 1
         # distinct segments
-        prefix = np.zeros(n + 1, U64)
-        up, down = powers(n + 1)
-        np.cumsum(mix(code.astype(U64) + U64(0x51ED270B)) * up[:n], out=prefix[1:])
-        h = mix((prefix[e] - prefix[s]) * down[s])
-        h, first, which = np.unique(h, return_index=True, return_inverse=True)
+        h, first, which = np.unique(spans_hash(code, s, e), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
         known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)

@@ -6,22 +6,27 @@ to the zstandard frame of the surrounding text, compressed with a raw-content di
 that is built from known identifiers or repeats its surroundings adds little; a random key adds nearly all its bits.
 
 Defined cases.  Null text: empty, no spans, the digest of the empty string.  Empty table: no rows.  Repeated rows give
-repeated results.  Texts are scanned whole.  Only the key and text columns are read.
+repeated results.  Texts are scanned whole, in time linear in their length however many sensitive words or spans they
+hold.  Only the key and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, read, released, schema, table, texts
+from .common import chunks, read, released, schema, small_batches, table, texts
 
 #: Least marginal bytes per character, and characters of context before, after and between word and candidate.
 NOVELTY, BEFORE, AFTER, REACH = 0.55, 512, 128, 48
+#: Least characters of a run; a run up to SHORT is measured from each sensitive word in it.
+LEAST, SHORT = 16, 256
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "bearer", "authorization", "client_id", "signature")
@@ -38,8 +43,8 @@ IDENTIFIERS = (
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 _WORD = re.compile("|".join(sorted(map(re.escape, SENSITIVE), key=len, reverse=True)))
-_RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
-_DIGIT, _ALPHA = re.compile(r"[0-9].*[0-9]", re.S), re.compile(r"[A-Za-z]")
+_RUN, _KEY = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{LEAST}}}"), re.compile(r"[A-Za-z0-9+/_=.\-]*")
+_DIGIT, _ALPHA = re.compile(r"[0-9][^0-9]*[0-9]"), re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -69,28 +74,45 @@ class Novelty:
         return (self.size(around + text[start:end].encode()) - self.size(around)) / max(1, end - start)
 
 
+def _covered(base: list[tuple[int, int, int]]):
+    """A test whether [s, e) meets one of the sorted spans, by binary search."""
+    starts, furthest = [x[0] for x in base], [0, *accumulate((x[2] for x in base), max)]
+    return lambda s, e: furthest[bisect_left(starts, e)] > s
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible runs soon after a sensitive word, outside the base spans."""
-    out, seen = [], set()
-    if len(low) != len(text) or not any(w in low for w in SENSITIVE):
-        if len(low) == len(text):
-            return out
+    """Incompressible runs that start within REACH after a sensitive word, outside the base spans.  Every run is tested
+    that starts there; a run that begins before the word's end is taken from there on.  The work is linear: the end of a
+    long run is looked up once, and a second start in a run already measured is measured only if what is left of it is
+    at most half as long, or at most SHORT."""
+    if not any(w in low for w in SENSITIVE) and len(low) == len(text):
+        return []
+    if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # keeps offsets
+    out, seen, covered = [], set(), _covered(base)
+    stops, trims, last = [], [], []  # the runs met so far, in order: end, end without points, length last measured
     for w in _WORD.finditer(low):
-        for m in _RUN.finditer(text, w.end()):
-            if m.start() - w.end() > REACH:
+        at, most = w.end(), w.end() + REACH
+        while at <= most:
+            m = _RUN.search(text, at, most + LEAST)  # a run's first LEAST characters, within reach
+            if not m:
                 break
-            if m.start() in seen:
+            s = m.start()
+            run = bisect_right(stops, s)
+            if run == len(stops):
+                stops.append(_KEY.match(text, s).end())
+                trims.append(s + len(text[s : stops[-1]].rstrip(".-")))
+                last.append(1 << 62)
+            at, e = stops[run], trims[run]
+            if s in seen:
                 continue
-            seen.add(m.start())
-            s, e = m.start(), m.end()
-            while e > s and text[e - 1] in ".-":
-                e -= 1
-            if e - s < 16 or any(b[0] < e and s < b[2] for b in base) or not (_DIGIT.search(text, s, e) and _ALPHA.search(text, s, e)):
+            seen.add(s)
+            if e - s < LEAST or e - s > SHORT and 2 * (e - s) > last[run] or covered(s, e):
                 continue
-            if novelty.of(text, s, e) >= NOVELTY:
+            last[run] = e - s
+            if _DIGIT.search(text, s, e) and _ALPHA.search(text, s, e) and novelty.of(text, s, e) >= NOVELTY:
                 out.append((s, 3, e))
-    return out
+    return sorted(out)
 
 
 def scan(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -152,6 +174,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             cols[at] = pa.array(new, kinds.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=kinds)
 
+    small_batches(docs.sparkSession)
     done = docs.mapInArrow(released(run), out)
     return done.withColumn("n_chars", F.length("text").cast(out["n_chars"].dataType)) if "n_chars" in docs.columns else done
 

@@ -128,8 +128,13 @@ class Encoder:
             return np.array([len(x) for x in got], np.int64), np.concatenate(got) if got else np.zeros(0, np.int64)
         if not len(c.buf):
             return np.zeros(len(c), np.int64), np.zeros(0, np.int64)
-        c = Chunk(c.lo, c.hi, LOWER[c.buf], c.offs)
         s, e, kind = _units(c.buf, c.offs)
+        # plain units are lowered here, so that a word has one entry; others are left to the library, which composes
+        # marks before it lowers
+        odd = np.zeros(len(c.buf) + 1, np.int8)
+        odd[s[kind == 4]] = 1
+        odd[e[kind == 4]] -= 1
+        c = Chunk(c.lo, c.hi, np.where(np.cumsum(odd[:-1], dtype=np.int8) > 0, c.buf, LOWER[c.buf]), c.offs)
         h, first, which = np.unique(c.hashes(s, e), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
