@@ -1,7 +1,7 @@
 """Operator 3: quality rules with an isolation forest on rule statistics.
 
 Each whole text gives fixed counts; their ratios are the forest's features.  The trees are grown on the driver from a
-bounded sample (POOL rows of the smallest key hashes, PSI rows to a tree), as the method has it; every row gets its
+bounded sample (about POOL rows by their hashes, 2 POOL at most; PSI rows to a tree), as the method has it; every row gets its
 path length.  The threshold is calibrated on all labelled rows: from a histogram of scores by label, the score with
 the largest gap between the shares of bad and of good rows rejected, among those that reject at most MAX_GOOD of the
 good ones (labels are noisy, so a share of them sits on the wrong side wherever the threshold is).
@@ -148,7 +148,9 @@ FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
     """The forest and its threshold from the counts of all rows and the labelled rows (doc_id, quality)."""
-    pool = stats.where("n_words >= 20").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL).toPandas()
+    long = stats.where("n_words >= 20")
+    share = POOL / max(1, long.count())  # of the hashes: about POOL rows come to the driver, however many tasks there are
+    pool = long.where(F.pmod(F.xxhash64(*stats.columns), F.lit(1 << 32)) < int(min(1.0, share) * (1 << 32))).limit(2 * POOL).toPandas()
     forest = Forest(features(pool.__getitem__)) if len(pool) else Forest(np.zeros((0, 6)))
     known = stats.where(f"not ({FAILED})").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").withColumn("score", scorer(forest)(*COUNTS.names[1:]))
     bins = known.groupBy(F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).alias("bin"), (F.col("quality") > 0).alias("good")).count().collect()
@@ -184,23 +186,33 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the rules and the forest keep, with their columns.  The counts are taken again where the rows are
-    read, so no text is shuffled."""
+    """The rows that the rules and the forest keep, with their columns.  The rows are read and counted once: the counts
+    go along with them in a scratch table, so no text is counted again or shuffled."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     import pyarrow as pa
 
-    forest, threshold = fit(stored(rule_counts(docs), docs.sparkSession), labels)
-    at = docs.columns.index("text")
+    at, own = docs.columns.index("text"), "_counts"
+    while own in docs.columns:
+        own += "_"
+    out = T.StructType([*docs.schema.fields, T.StructField(own, T.StructType(COUNTS.fields[1:]))])
+    kinds = to_arrow_schema(out)
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             for c in chunks(b.column(at)):
                 n = counts(c)
-                failed = (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
-                keep = ~failed & (forest.score(features(n.__getitem__)) < threshold)
-                yield b.slice(c.lo, len(c)).filter(pa.array(keep))
-
-    return docs.mapInArrow(released(run), docs.schema)
+                fields = [pa.array(n[f.name], f.type) for f in kinds.field(own).type]
+                yield pa.RecordBatch.from_arrays([*b.slice(c.lo, len(c)).columns, pa.StructArray.from_arrays(fields, fields=list(kinds.field(own).type))], schema=kinds)
+
+    counted = stored(docs.mapInArrow(released(run), out), docs.sparkSession)
+    key = F.col("doc_id").cast("long").alias("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id")
+    forest, threshold = fit(counted.select(key, f"{own}.*"), labels)
+    parts = [F.col(f"{own}.{n}") for n in COUNTS.names[1:]]
+    failed = (F.col(f"{own}.n_words") < 20) | (100 * F.col(f"{own}.n_repeat_words") > 30 * F.col(f"{own}.n_words"))
+    return counted.where(~failed).where(scorer(forest)(*parts) < threshold).select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

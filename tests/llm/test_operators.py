@@ -135,15 +135,15 @@ def test_forest_finds_outliers():
 def test_top_k(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(v) for v in r.normal(size=8)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, []), (304, [float("inf")] * 8), (350, rows[7][1]), (351, rows[7][1]), (7, rows[7][1]), (None, rows[7][1])]
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, []), (304, [float("inf")] * 8), (350, rows[7][1]), (350, rows[7][1]), (351, rows[7][1]), (7, rows[7][1]), (50, rows[50][1]), (None, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = topk.whole_vectors(df)
     got = sorted(tuple(x) for x in topk.top_k(v, v.where("vec_id % 50 = 0"), block=64, query_block=3).select("query_id", "rank", "vec_id", "score").collect())
-    whole = {i: np.floor(256 * np.float32(e).astype(float)).astype(int) for i, e in rows if i is not None and i not in range(300, 305)}
+    whole = [(i, np.floor(256 * np.float32(e).astype(float)).astype(int)) for i, e in rows if i is not None and i not in range(300, 305)]
     want = []
-    for q in [i for i in whole if i % 50 == 0]:
-        best = sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:5]
-        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    for n, (q, x) in enumerate(whole):
+        best = sorted((-int(x @ y), c) for m, (c, y) in enumerate(whole) if m != n)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best) if q % 50 == 0]
     assert got == sorted(want)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
     few = v.where("vec_id in (0, 1)")
