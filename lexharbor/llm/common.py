@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,6 +230,48 @@ def tokenizer_file(name: str, path: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays with their types, each in the smallest unsigned type that holds it, compressed."""
+    out = []
+    for a in arrays:
+        a = np.asarray(a)
+        if a.dtype.kind in "iu" and a.dtype != np.uint64 and (not len(a) or a.min() >= 0):
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        kind = a.dtype.str.encode().ljust(4)
+        a = np.ascontiguousarray(a)
+        wide = a.dtype.itemsize in (4, 8)
+        data = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() if wide else a.tobytes()  # like bytes together
+        out.append(kind + len(a).to_bytes(8, "little") + data)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The arrays of pack; narrow: integers in the types that they were sent in, else as 64 bits."""
+    raw, at, out = memoryview(zstandard.ZstdDecompressor().decompress(data)), 0, []
+    while at < len(raw):
+        kind, n = np.dtype(bytes(raw[at : at + 4]).decode().strip()), int.from_bytes(raw[at + 4 : at + 12], "little")
+        at += 12
+        a = np.frombuffer(raw[at : at + n * kind.itemsize], kind)
+        if kind.itemsize in (4, 8):
+            a = np.ascontiguousarray(a.view(np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+        at += n * kind.itemsize
+        out.append(a if narrow or kind.kind == "f" or kind == np.uint64 else a.astype(np.int64))
+    return out
+
+
+def has_repeats(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether a key that isn't null occurs twice; reads the keys alone."""
+    return not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+
+
+def one_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each key: if keys repeat, the row with the smallest hash of the text.  Rows without a key all stay.
+    Without repeats, which is the rule, this is the table itself."""
+    if not has_repeats(docs, key):
+        return docs
+    return docs.where(F.col(key).isNull()).unionByName(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("x")).select("x.*"))
+
+
 def by_key(batches, keys: list[str]):
     """From batches sorted by the keys: one (key tuple, table) per run of equal keys."""
     held: list[pa.RecordBatch] = []
