@@ -94,16 +94,14 @@ def test_pitman_yor(spark, docs, texts, nothing):
     out = [r for r in out.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)  # better on texts it hasn't seen
     assert pylm.score_texts(nothing).count() == 0
+    alone = pylm.score_texts(docs.where("doc_id = 16")).first()  # held out, so nothing is learned
+    assert (alone.held_out, alone.train_tokens, alone.n_known, alone.base_score, alone.score) == (held[16], 0, 0, 0.0, 0.0) or not held[16]
 
 
-def test_pitman_yor_is_normalised():
-    """Seating keeps its counts, and predictive probabilities of one bucket sum to one."""
-    rng = np.random.default_rng(0)
-    c = rng.integers(1, 40, 200)
-    s = pylm.Seats(c, np.full(200, 0.5), 0.7, rng)
-    for _ in range(20):
-        s.step(np.full(200, 0.5))
-    assert (np.bincount(s.dish, s.size, len(s.busy)) == c[s.busy]).all() and ((s.t >= 1) & (s.t <= c)).all() and (s.size > 0).all()
+def test_pitman_yor_by_buckets_and_partitions(spark, docs):
+    """The same scores however the words are dealt to buckets and the rows to tasks."""
+    one = table(pylm.score_texts(docs, bucket_bytes=1 << 40), "doc_id", "score")
+    assert one == table(pylm.score_texts(docs.repartition(7), bucket_bytes=3000), "doc_id", "score")
 
 
 def test_quality(spark, docs, texts, nothing):
