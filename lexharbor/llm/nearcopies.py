@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, mix, released, schema, stored, table, texts
+from .common import U64, chunks, components, has_repeats, mix, released, schema, stored, table, texts
 from .passages import rolled
 from .simhash import TREE, BKTree
 
@@ -141,7 +141,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but the first (smallest doc_id) of each group of near copies.  Rows with a null key
+    """The documents without all but the first (smallest doc_id) of each group of near copies.  Rows with one key are one
+    document: of those with the same text one stays, and those with other texts stay or go together.  Rows with a null key
     stay."""
     gone = near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    if not has_repeats(docs):
+        return kept
+    one = kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text"), F.md5("text")).agg(F.first(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.where("doc_id is null").unionByName(one)

@@ -77,9 +77,15 @@ def extendible_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> None:
-    """Writes whole rows into one folder per shard.  Rows meet their shard by key; keys are not repeated in the map."""
-    where = extendible_shards(docs, key, limit=limit).select("key", "shard").distinct()
-    docs.join(where, docs[key].eqNullSafe(where["key"])).drop("key").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes whole rows into one folder per shard, named by SHARD=.  Rows meet their shard by key; rows of one key that
+    overflow pages hold together go to the first page of the key."""
+    own, name = "_key", "shard"
+    while own in docs.columns:
+        own += "_"
+    while name in docs.columns:
+        name += "_"
+    where = extendible_shards(docs, key, limit=limit).groupBy(F.col("key").alias(own)).agg(F.min("shard").alias(name))
+    docs.join(where, docs[key].eqNullSafe(where[own])).drop(where[own]).repartition(name).write.partitionBy(name).mode("overwrite").parquet(path)
 
 
 def op9_extendible_sharding(spark, sf_dir: str) -> DataFrame:
@@ -88,10 +94,16 @@ def op9_extendible_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with d as (select doc_id, coalesce(strlen(text), 0)::bigint n_bytes, ('0x' || substr(md5(doc_id::varchar), 1, {BITS // 4}))::bigint h from documents),
-p as (select d.*, k.depth, h >> ({BITS} - k.depth) prefix from d, (select unnest(range(0, 31))::int depth) k),
-s as (select depth, prefix, sum(n_bytes)::bigint shard_bytes, count(*) shard_rows from p group by all),
-f as (select p.doc_id, min(depth) depth from p join s using (depth, prefix) where shard_bytes <= {LIMIT} group by all)
-select p.doc_id, p.n_bytes, case when depth = 0 then '' else lpad(format('{{:b}}', prefix), depth, '0') end shard, depth,
-  s.shard_bytes, s.shard_rows, false oversize
-from f join p using (doc_id, depth) join s using (depth, prefix)"""
+with d as (select doc_id, coalesce(strlen(text), 0)::bigint n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, {BITS // 4}))::bigint h from documents),
+g as (select h, sum(n_bytes)::bigint bytes, count(*) n from d group by h),
+p as (select h, bytes, n, k.depth, h >> ({BITS} - k.depth) prefix from g, (select unnest(range(0, {BITS + 1}))::int depth) k),
+s as (select depth, prefix, sum(bytes)::bigint shard_bytes, sum(n)::bigint shard_rows from p group by all),
+f as (select h, coalesce(min(depth) filter (where shard_bytes <= {LIMIT}), {BITS}) depth from p join s using (depth, prefix) group by h),
+w as (select h, depth, case when depth = 0 then '' else lpad(format('{{:b}}', prefix), depth, '0') end shard, shard_bytes, shard_rows from f join p using (h, depth) join s using (depth, prefix)),
+z as (select h, doc_id, n_bytes, count(*) copies, greatest(1, {LIMIT} // greatest(n_bytes, 1)) per from d join w using (h) where shard_bytes > {LIMIT} group by all),
+o as (select *, coalesce(sum(ceil(copies / per)) over (partition by h order by doc_id, n_bytes rows between unbounded preceding and 1 preceding), 0)::bigint earlier from z),
+q as (select *, unnest(range(0, ceil(copies / per)::bigint)) page from o),
+r as (select *, least(per, copies - page * per)::bigint here, unnest(range(0, least(per, copies - page * per)::bigint)) from q)
+select doc_id, n_bytes, shard, depth, shard_bytes, shard_rows, false oversize from d join w using (h) where shard_bytes <= {LIMIT}
+union all
+select doc_id, n_bytes, shard || '+' || (earlier + page), depth, (here * n_bytes)::bigint, here, n_bytes > {LIMIT} from r join w using (h)"""
