@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -23,30 +23,23 @@ STOPWORDS = {
 MIN_VOTES, MIN_SHARE, MIN_TITLE_SHARE = 5, 0.3, 0.5
 
 
-def index(spark: SparkSession) -> DataFrame:
-    """(word, langs): the languages of each function word; about 160 rows, so it is always broadcast."""
-    words: dict[str, list[str]] = {}
-    for lang, listed in STOPWORDS.items():
-        for w in listed.split():
-            words.setdefault(w, []).append(lang)
-    return spark.createDataFrame(list(words.items()), "vote_word string, langs array<string>")
-
-
 def guess(df: DataFrame, keys: list[str], text: str = "text", most: int = 400) -> DataFrame:
-    """keys, lang and en_share (float, NaN if undecidable).  The text is cut to its first words before the explode, the
-    join is a broadcast hash join, and one aggregation by key counts all languages, so there is one shuffle of a few
-    counters per document.  An empty first word keeps documents without any word."""
-    words = F.concat(F.array(F.lit("")), T.vote_words(F.coalesce(F.col(text), F.lit("")), most))
-    each = df.select(*keys, F.posexplode(words).alias("pos", "vote_word"))
-    met = each.join(F.broadcast(index(df.sparkSession)), "vote_word", "left")
-    langs = list(STOPWORDS)
-    has = lambda l: F.array_contains("langs", l)
-    votes = met.groupBy(*keys).agg(*[F.count_if(has(l)).alias(f"_v{i}") for i, l in enumerate(langs)], *[F.min(F.when(has(l), F.col("pos"))).alias(f"_p{i}") for i, l in enumerate(langs)])
-    total = sum((F.col(f"_v{i}") for i in range(1, len(langs))), F.col("_v0"))
-    best = F.array_min(F.array(*[F.struct((-F.col(f"_v{i}")).alias("v"), F.col(f"_p{i}").alias("p"), F.lit(i).alias("i"), F.lit(l).alias("lang")) for i, l in enumerate(langs)]))["lang"]
-    known = total >= MIN_VOTES
-    share = F.when(known, F.col("_v0") / F.when(known, total)).otherwise(F.lit(float("nan"))).cast("float")
-    return votes.select(*keys, F.when(known, best).otherwise("und").alias("lang"), share.alias("en_share"))
+    """keys, lang and en_share (float, NaN if undecidable) of every row.  The first words are cut to function words with
+    their places by one set lookup each, and each language counts its own among those: all in the row, so there is no
+    join and no shuffle."""
+    words = T.vote_words(F.coalesce(F.col(text), F.lit("")), most)
+    lists = {lang: listed.split() for lang, listed in STOPWORDS.items()}
+    every = sorted({w for listed in lists.values() for w in listed})
+    found = df.select(*keys, F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(every)).alias("_hits"))
+    among = lambda listed: F.filter("_hits", lambda x: x["w"].isin(listed))
+    own = found.select(*keys, *[among(listed).alias(f"_{lang}") for lang, listed in lists.items()])
+    first = lambda lang: F.get(f"_{lang}", F.lit(0))["i"]
+    votes = F.array(*[F.struct((-F.size(f"_{lang}")).alias("v"), first(lang).alias("p"), F.lit(i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(lists)])
+    total = sum((F.size(f"_{lang}") for lang in list(lists)[1:]), F.size("_en"))
+    out = own.select(*keys, F.array_min(votes)["lang"].alias("_best"), total.alias("_total"), F.size("_en").alias("_votes"))
+    known = F.col("_total") >= MIN_VOTES
+    share = F.when(known, F.col("_votes") / F.when(known, F.col("_total"))).otherwise(F.lit(float("nan"))).cast("float")
+    return out.select(*keys, F.when(known, F.col("_best")).otherwise("und").alias("lang"), share.alias("en_share"))
 
 
 def is_native_english(lang: Column, share: Column, least: float = MIN_SHARE) -> Column:

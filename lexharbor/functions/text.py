@@ -105,6 +105,34 @@ def unescape(text: Column) -> Column:
     return F.when(text.rlike(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)"), rest(text)).otherwise(text)
 
 
+def literal_fields(value: Column, names: tuple[str, ...]) -> Column:
+    """Fields of a dictionary written in Python's notation (None, single or double quotes, escapes), as a struct of
+    strings; NULL where a field is missing or None, or the text is no dictionary."""
+
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def fields(s):
+        import ast
+
+        import pandas as pd
+
+        def one(x):
+            try:
+                m = ast.literal_eval(x) if x else {}
+            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                m = {}
+            get = m.get if isinstance(m, dict) else {}.get
+            return [None if get(n) is None else str(get(n)) for n in names]
+
+        return pd.DataFrame([one(x) for x in s], columns=list(names), dtype=object)
+
+    return fields(value)
+
+
+def tei_file_year(name: Column) -> Column:
+    """The year in the name of a TEI file, 9999 if there is none."""
+    return F.coalesce(F.regexp_extract(name, r"_(\d{4})\d*\.TEI", 1).try_cast("int"), F.lit(9999))
+
+
 def word_like_share(text: Column) -> Column:
     """Our own measure: the share of white-space words that are letters with at most edge punctuation."""
     words = F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), 0)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .saved import saved
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 3
+SHINGLE, SIMILAR, BANDS, ROWS, FINER = 5, 0.8, 16, 3, 8
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,45 +36,48 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def near_duplicate_links(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity): links between distinct texts, enough of them for all classes.  Exact copies are folded first.
-    In a band's bucket each text is linked to the first one and to the one before it in key order, so a bucket gives
-    two links per text and never all pairs; the buckets' first texts come from an aggregation, and the neighbours from
-    a window over the few texts of a bucket.  Links are verified on whole shingle sets."""
+    """(a, b, similarity): links between distinct texts.  Exact copies are folded first.  In a band's bucket each text is
+    tested on whole shingle sets against the first one.  A bucket in which such a test fails is cut again, by FINER
+    further minima one after another: texts that are similar are in most of the finer buckets together, and each is
+    tested against the first one there, which texts that are less alike share less often.  All of it is aggregation and
+    equi-joins: a bucket gives one pair per text and never all pairs."""
     first = docs.groupBy(F.xxhash64(text, F.md5(text)).alias("_h")).agg(F.min_by(text, key).alias(text), F.min(key).alias(key))
-    one = _saved(with_shingles(first, text).select(key, "s"))
-    sig = _saved(one.where(F.size("s") > 0).withColumn("m", signature(F.col("s"))).select(key, F.explode(bands(F.col("m"))).alias("band")))
-    w = Window.partitionBy("band").orderBy(key)
-    first = sig.groupBy("band").agg(F.min(key).alias("root"), F.count("*").alias("n")).where("n > 1")
-    met = sig.join(first, "band").withColumn("before", F.lag(key).over(w))
-    pairs = met.select(F.explode(F.array_distinct(F.array("root", "before"))).alias("a"), F.col(key).alias("b")).where("a < b").distinct()
-    sets = one.select(key, "s")
-    left = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a")
-    out = left.join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
+    one = saved(with_shingles(first, text).select(key, "s"))
+    sig = one.where(F.size("s") > 0).select(key, signature(F.col("s"), BANDS * ROWS + FINER).alias("m"))
+    sig = saved(sig.select(key, F.slice("m", BANDS * ROWS + 1, FINER).alias("fine"), F.explode(bands(F.slice("m", 1, BANDS * ROWS))).alias("band")))
+    pairs = _with_first(sig, ["band"], key)
+    links = saved(_verified(pairs.select("a", "b").distinct(), one, key, least))
+    tested = pairs.join(links.select("a", "b", F.lit(True).alias("ok")), ["a", "b"], "left")
+    failed = tested.where("ok is null").select("band").distinct()
+    finer = sig.join(failed, "band", "left_semi").select(key, "band", F.posexplode("fine").alias("i", "v"))
+    more = _with_first(finer, ["band", "i", "v"], key).select("a", "b").distinct().join(pairs.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return links.unionByName(_verified(more, one, key, least))
+
+
+def _with_first(rows: DataFrame, bucket: list[str], key: str) -> DataFrame:
+    """bucket, a, b: the first key of each bucket with each of its others."""
+    first = rows.groupBy(*bucket).agg(F.min(key).alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(first, bucket).select(*bucket, "a", F.col(key).alias("b")).where("a < b")
+
+
+def _verified(pairs: DataFrame, one: DataFrame, key: str, least: float) -> DataFrame:
+    left = pairs.join(one.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a")
+    out = left.join(one.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
     return out.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder; one is set only where there is none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexharbor-"))
-    return df.checkpoint()
-
-
 def classes(links: DataFrame) -> DataFrame:
     """(node, root): smallest reachable key.  Labels move along links to the smallest neighbour and then to that label's
     own label, so the number of rounds grows with the logarithm of a chain's length."""
     e = links.select("a", "b")
-    both = _saved(e.union(e.select("b", "a")).distinct())
+    both = saved(e.union(e.select("b", "a")).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    label = _saved(label)
+    label = saved(label)
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = label.join(near, "node").select("node", F.least("root", "m").alias("root"))
         jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        new = _saved(jump)
+        new = saved(jump)
         if new.join(label.select("node", F.col("root").alias("old")), "node").where("root <> old").isEmpty():
             return new
         label = new

@@ -23,10 +23,19 @@ def class_gap(scores: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def control_match(terms: DataFrame, candidates: DataFrame, field: str = "field") -> DataFrame:
-    """For each term the candidate of the same field with the nearest log frequency; ties to the smaller word."""
-    met = terms.join(candidates, field)
-    gap = F.abs(F.log("freq") - F.log("cand_freq"))
-    return met.groupBy("term", field).agg(F.min(F.struct(gap.alias("gap"), F.col("cand"))).alias("m")).select("term", field, F.col("m.cand").alias("control"), F.col("m.gap").alias("gap"))
+    """For each term the candidate of the same field with the nearest log frequency; ties to the smaller word.  Candidates
+    and terms are reduced to one row for each frequency; a frequency's nearest ones are then the last candidate before it
+    and the first one after it, found by a window over the field's distinct frequencies, never by all pairs."""
+    best = candidates.groupBy(field, F.col("cand_freq").alias("f")).agg(F.min("cand").alias("c"))
+    asked = terms.select(field, F.col("freq").alias("f")).distinct()
+    line = best.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    one = F.when(F.col("asks") == 0, F.struct("f", "c"))
+    w = Window.partitionBy(field)
+    near = line.withColumn("low", F.last(one, True).over(w.orderBy("f", "asks"))).withColumn("high", F.last(one, True).over(w.orderBy(F.desc("f"), "asks"))).where("asks = 1")
+    gap = lambda x: F.round(F.abs(F.log("f") - F.log(x["f"])), 12)
+    pair = lambda x: F.when(x.isNotNull(), F.struct(gap(x).alias("gap"), x["c"].alias("cand")))
+    found = near.select(field, F.col("f").alias("freq"), F.least(pair(F.col("low")), pair(F.col("high"))).alias("m")).where("m is not null")
+    return terms.join(found, [field, "freq"]).select("term", field, F.col("m.cand").alias("control"), F.col("m.gap").alias("gap"))
 
 
 def logistic(x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .prefix import running_sum
 
 MIN_TOKENS, KEYED_MIN, POOL_DF, POOL_TITLES, POOL_FIRST, RATE, CELL = 20, 2, 50, 5, 1500, 0.02, 400
 # Report periods (years, closed), quantiles, thresholds.
@@ -85,14 +86,17 @@ def year_period(year: Column) -> Column:
 
 def quantiles(scored: DataFrame, keys: list[str], value: str = "score", qs=QUANTILES, thresholds=THRESHOLDS) -> DataFrame:
     """By group: n, the value at place floor(q * n) of the sorted values, and the shares strictly below thresholds.
-    Ranks come from a window, so no group is gathered into one array."""
-    own = scored.where(~F.isnan(value))
-    w = Window.partitionBy(*keys)
-    ranked = own.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    place = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(float(q)) * F.col("_n")))
-    at = [F.max(F.when(F.col("_r") == place(q), F.col(value))).alias(f"p{round(q * 100)}") for q in qs]
-    below = [F.avg((F.col(value) < t).cast("double")).alias(f"below_{round(t * 100)}") for t in thresholds]
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *at, *below)
+    Rows are counted by value first, and the counts before each value are a running sum in ranges, so no task holds a
+    group."""
+    per = scored.where(~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    at = running_sum(per, value, "_c", "_b", keys=tuple(keys))
+    n = at.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    ranked = at.join(n, keys)
+    place = lambda q: F.least(F.col("n") - 1, F.floor(F.lit(float(q)) * F.col("n")))
+    here = lambda q: (F.col("_b") <= place(q)) & (place(q) < F.col("_b") + F.col("_c"))
+    quantile = [F.max(F.when(here(q), F.col(value))).alias(f"p{round(q * 100)}") for q in qs]
+    below = [(F.coalesce(F.sum(F.when(F.col(value) < t, F.col("_c"))), F.lit(0)) / F.sum("_c")).alias(f"below_{round(t * 100)}") for t in thresholds]
+    return ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), *quantile, *below)
 
 
 def ocr_filter(df: DataFrame, score: str = "score", like: str = "word_like", least: float = 0.75, least_like: float = 0.70) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .prefix import running_sum
+from .saved import saved
 
 CUTOFF, EMBARGO, TEST_START = "1939-06-30", ("1939-07-01", "1939-08-31"), "1939-09-01"
 HOLDOUT, VALIDATION, SEQUENCE, DECAY = 0.02, 0.02, 2048, 5.0
@@ -21,10 +22,17 @@ def split(date: Column, key: Column) -> Column:
 
 
 def exact_holdout(df: DataFrame, strata: list[str], key: str, fraction: float = HOLDOUT) -> DataFrame:
-    """The lowest `fraction` of each stratum by hash, rounded up."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(F.sha1(F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_k") <= F.ceil(F.col("_n") * fraction)).drop("_k", "_n")
+    """The lowest `fraction` of each stratum by hash, rounded up.  Rows are counted by the first 16 bits of their hash; all
+    rows below the cell in which the count is reached stay, and only the rows of that cell are ranked."""
+    cell = df.withColumn("_h", F.sha1(F.col(key))).withColumn("_c", F.substring("_h", 1, 4))
+    counts = cell.groupBy(*strata, "_c").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*strata)
+    at = counts.withColumn("_all", F.sum("_n").over(own)).withColumn("_before", F.coalesce(F.sum("_n").over(own.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = F.ceil(F.col("_all") * fraction)
+    cut = at.where((F.col("_before") < want) & (F.col("_before") + F.col("_n") >= want)).select(*strata, F.col("_c").alias("_cut"), (want - F.col("_before")).alias("_left"))
+    met = cell.join(cut, strata).where(F.col("_c") <= F.col("_cut"))
+    ranked = met.where(F.col("_c") == F.col("_cut")).withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key))).where(F.col("_k") <= F.col("_left"))
+    return met.where(F.col("_c") < F.col("_cut")).select(*df.columns).unionByName(ranked.select(*df.columns))
 
 
 def overlaps(df: DataFrame, key: str, label: str = "split") -> DataFrame:
@@ -79,9 +87,7 @@ def learn_merges(docs: DataFrame, merges: int, text: str = "text") -> list[tuple
     """BPE merges from word frequencies.  The pair counts of each round are an aggregation; only the best pair comes to
     the driver, and words are rewritten by a column expression."""
     words = docs.select(F.explode(T.tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).select("n", F.split("w", "(?!$)").alias("s"))
-    from .dedup import _saved
-
-    out, words = [], _saved(words)
+    out, words = [], saved(words)
     for i in range(merges):
         pairs = words.where(F.size("s") > 1).select("n", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
         best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
@@ -92,5 +98,28 @@ def learn_merges(docs: DataFrame, merges: int, text: str = "text") -> list[tuple
         step = lambda acc, x: F.when((F.element_at(acc, -1) == a) & (x == b), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x)))
         words = words.select("n", F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.slice("s", 1, 1), step).alias("s"))
         if i % 8 == 7:
-            words = _saved(words)
+            words = saved(words)
     return out
+
+
+def encode_merges(docs: DataFrame, merges: list[tuple[str, str]], keys: list[str], text: str = "text") -> DataFrame:
+    """keys and the pieces of every text: its words in order, each with the merges applied best rank first.  A batch
+    encodes each distinct word once."""
+    ranks = {m: i for i, m in enumerate(merges)}
+
+    @F.pandas_udf("array<string>")
+    def pieces(words):
+        known: dict[str, list[str]] = {}
+
+        def one(word: str) -> list[str]:
+            parts = list(word)
+            while len(parts) > 1:
+                rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:])))
+                if rank == len(ranks):
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+
+        return words.map(lambda ws: [p for w in ws for p in (known.get(w) or known.setdefault(w, one(w)))])
+
+    return docs.select(*keys, pieces(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("pieces"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory as I, planning as P
 from .registry import ART, VOTE, articles, docs, query, table, voted
 
-_PERIOD = "case " + " ".join(f"when date between '{lo if n != 'pre-1900' else '0000-01-01'}' and '{hi}' then '{n}'" for n, lo, hi in I.PERIODS) + " end"
+_PERIOD = "case " + " ".join(f"when date between '{lo}' and '{hi}' then '{n}'" for n, lo, hi in I.PERIODS) + " end"
 _INV = f"{ART}, a as (select art.*, d.lang, {_PERIOD} period from art join documents d using (doc_id)), p as (select * from a where period is not null)"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ocr as O
+from ..sources.manifests import lexicon_digest
 from .registry import ART, articles, docs, query
 
 _TOK = r"list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+'), lambda t: replace(lower(t), 'ſ', 's')), lambda t: length(t) >= 2)"
@@ -54,6 +55,11 @@ def lexicon_pool_only(spark, sf):
     return O.pool_only(_keyed(spark, sf), _pool(spark, sf))
 
 
+@query(f"with {_LEX} select count(*) n, sha256(coalesce(string_agg(word, chr(10) order by word) || chr(10), chr(10))) digest from lex")
+def lexicon_address(spark, sf):
+    return lexicon_digest(_lexicon(spark, sf))
+
+
 @query(f"with {_SCORE} select doc_id, n_tokens, n_hits, case when n_tokens >= 20 then round(score, 9) end score from s")
 def ocr_score(spark, sf):
     return _scores(spark, sf).select("doc_id", "n_tokens", "n_hits", F.when(~F.isnan("score"), F.round("score", 9)).alias("score"))

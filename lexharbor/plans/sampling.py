@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D, splits as S
-from ..sources.manifests import lexicon_digest
 from .registry import ART, articles, docs, query, table
 
 _W = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -41,6 +40,12 @@ def dedup_rate(spark, sf):
     return D.removed_rate(c, ["source"]).withColumn("removed_fraction", F.round("removed_fraction", 9))
 
 
+@query(f"with recursive {_CLASS}, {ART} select year(day)::int as year, count(*) n, round(avg((doc_id <> class_id)::int), 9) removed_fraction from cl join art using (doc_id) group by 1")
+def dedup_rate_by_year(spark, sf):
+    c = _classes(spark, sf).join(articles(spark, sf).select("doc_id", F.year("day").alias("year")), "doc_id")
+    return D.removed_rate(c, ["year"]).withColumn("removed_fraction", F.round("removed_fraction", 9))
+
+
 @query(rf"select doc_id, len(w) n_words, greatest(0, len(w) - 4)::bigint n_shingles, md5(coalesce(array_to_string(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')), '|'), '')) digest from (select doc_id, {_W} w from documents)")
 def shingles(spark, sf):
     w = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
@@ -148,8 +153,3 @@ def bpe_pair_counts(spark, sf):
 @query("select doc_id, (md5_number % 7)::bigint shard from (select doc_id, list_reduce(list_transform(range(1, 41), lambda i: ('0x' || substr(sha1('d_' || doc_id), i, 1))::bigint), lambda a, h: (a * 16 + h) % 7) md5_number from documents)")
 def stable_shard(spark, sf):
     return articles(spark, sf).select("doc_id", T.stable_shard(F.col("article_id"), 7).alias("shard"))
-
-
-@query("select count(*) n, sha256(count(*) || ':' || sum(('0x' || substr(sha1(lang), 1, 8))::bigint)) digest from (select distinct lang from documents)")
-def lexicon_address(spark, sf):
-    return lexicon_digest(docs(spark, sf, "lang").select(F.col("lang").alias("word")))

@@ -94,11 +94,10 @@ def loc_pd_books(df: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
 
 
 def pre_1929_books(df: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """`metadata` is a dictionary in Python's notation: single quotes are allowed when it is read as JSON."""
-    m = F.from_json("metadata", "year string, title string, author string", {"allowSingleQuotes": "true"})
-    df = df.withColumn("_m", m)
+    """`metadata` is a dictionary in Python's notation; one that can't be read counts as empty."""
+    df = df.withColumn("_m", T.literal_fields(F.col("metadata"), ("year", "title", "author", "htid", "language", "place")))
     y = T.safe_year(F.col("_m.year"))
-    meta = T.meta_json(F.lit("year").alias("date_precision"), F.col("id"))
+    meta = T.meta_json(F.lit("year").alias("date_precision"), *[F.col(f"_m.{n}").alias(n) for n in ("htid", "language", "place")])
     return _finish(df, "pre_1929_books", F.make_date(F.when(y.between(1, 9999), y), F.lit(1), F.lit(1)), _books(y, [("dropped_bad_date", y.isNull())]), article_id=_id("p1929", F.col("id")), newspaper=F.coalesce("_m.title", F.lit("")), state=F.lit(""), byline=F.coalesce("_m.author", F.lit("")), text=F.col("text"), meta=meta)
 
 
@@ -144,8 +143,7 @@ def keep(rows: DataFrame, with_language: bool = True) -> DataFrame:
     """The kept rows under the contract, with the language vote."""
     kept = rows.where(F.col("drop_reason").isNull()).drop("drop_reason")
     if with_language:
-        votes = language.guess(kept, ["article_id"]).select("article_id", "lang", F.col("en_share").alias("lang_en_share"))
-        kept = kept.join(votes, "article_id")
+        kept = language.guess(kept, kept.columns).withColumnRenamed("en_share", "lang_en_share")
     return project(kept)
 
 

@@ -73,16 +73,42 @@ def write_articles(df: DataFrame, path: str, mode: str = "append") -> None:
     salted.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", 2_000_000).partitionBy("source", "year").parquet(path)
 
 
-def write_lexicon(words: DataFrame, path: str) -> None:
-    """Sorted lines; the sort is distributed, and the part files in order are the list."""
-    words.select("word").distinct().orderBy("word").write.mode("overwrite").text(path)
+def lexicon_digest(words: DataFrame) -> DataFrame:
+    """(n, digest): the content address of a word list, SHA-256 over its sorted lines.  The sort is distributed; one task
+    passes the lines of all ranges in order through the hash and keeps none."""
 
+    def run(batches):
+        import hashlib
 
-def lexicon_digest(words: DataFrame) -> DataFrame:
-    """Content address of a word list, whatever its order: SHA-256 over the sums of the words' hashes."""
-    h = F.conv(F.substring(F.sha1("word"), 1, 8), 16, 10).cast("long")
-    d = words.select("word").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("s"))
-    return d.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
+        import pyarrow as pa
+
+        n, h = 0, hashlib.sha256()
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            n += len(lines)
+            h.update("".join(f"{w}\n" for w in lines).encode())
+        yield pa.RecordBatch.from_pydict({"n": [n], "digest": [h.hexdigest()]})
+
+    lines = words.select("word").where("word is not null").distinct().orderBy("word")
+    found = lines.coalesce(1).mapInArrow(run, "n long, digest string").where("n > 0")
+    empty = F.sha2(F.lit("\n").cast("binary"), 256)
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), empty).alias("digest"))
+
+
+def write_lexicon(words: DataFrame, folder: str, **about: str) -> str:
+    """Sorted lines in a folder named by the first 12 digits of their digest, and a MANIFEST.json that names it; returns
+    the digest.  The part files in order are the list."""
+    found = lexicon_digest(words).first()
+    words.select("word").where("word is not null").distinct().orderBy("word").write.mode("overwrite").text(f"{folder}/{found.digest[:12]}.txt")
+    info = json.dumps({**about, "file": f"{found.digest[:12]}.txt", "n": found.n, "sha256": found.digest}, sort_keys=True)
+    words.sparkSession.createDataFrame([(info,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/MANIFEST.json")
+    return found.digest
+
+
+def load_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """(word): the list that the folder's manifest names."""
+    name = spark.read.schema("file string").json(f"{folder}/MANIFEST.json").first().file
+    return spark.read.text(f"{folder}/{name}").withColumnRenamed("value", "word")
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
