@@ -149,12 +149,16 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of the session.  Only where none is set, as in tests, is one made."""
+    """A new folder name below the shared folder of the session.  Only a local session without one, as in tests, gets its
+    own; a cluster's machines would not share it."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = jdir.get() if jdir.isDefined() else None
     if not top:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         top = "file://" + tempfile.mkdtemp(prefix="lexharbor-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/lexharbor-{uuid.uuid4().hex}"
@@ -202,11 +206,6 @@ def drop(spark: SparkSession, df: DataFrame | None = None) -> None:
         _written.remove(p)
 
 
-def file_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Bytes of the files that df reads, by the planner's own statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def table(schema: T.StructType, **columns) -> pa.RecordBatch:
     """A record batch in the schema's order and types."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -323,14 +322,12 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = stored(small.where("u <> v").distinct(), spark)
         signature = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop(spark, large)
         if signature(new) == signature(e):
+            drop(spark, new)
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        drop(spark, e)
         e = new
 
 
-def tasks(spark: SparkSession, least: int = 1) -> int:
-    """How many tasks the session can run at once, at least."""
-    return max(least, spark.sparkContext.defaultParallelism)
-
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

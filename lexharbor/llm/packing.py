@@ -1,6 +1,6 @@
 """Operator 6: best-fit packing into bins of several permitted lengths.
 
-Rows are dealt to shards of about SHARD rows by a hash of their key and each shard is packed alone, so bins never cross
+Rows are dealt to shards of about SHARD rows by a hash of their key and place (so repeated rows are spread), and each shard is packed alone, so bins never cross
 tasks and the work is linear in the rows.  In a shard the pieces go in order of falling length (ties: key, piece).  A
 piece goes to the open bin that it fills best.  If none has room, a bin is opened at the size with the least cost per
 token that it can expect to hold: a bin of length C costs C + C^2 / BEND (linear layers and attention), and its gap is
@@ -87,7 +87,7 @@ def pack_documents(lens: DataFrame, lengths: tuple[int, ...] = LENGTHS, bend: fl
     """One row per piece of (doc_id, n_tokens): its bin, the bin's final length, the piece's place, the bin's contents."""
     most = max(lengths)
     shards = max(1, -(-lens.count() // shard))
-    rows = lens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+    rows = lens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id")
 
     def run(batches):

@@ -2,8 +2,10 @@
 
 Three fixed patterns give the base spans.  The method adds spans: a candidate is a run of 16 or more key characters
 with letters and digits that starts within REACH characters after a sensitive word.  Its marginal size is what it adds
-to the zstandard frame of the surrounding text, compressed with a raw-content dictionary of common identifiers.  Text
-that is built from known identifiers or repeats its surroundings adds little; a random key adds nearly all its bits.
+to the zstandard frame of the surrounding text, compressed with a raw-content dictionary of identifiers: a fixed list of
+common ones and the LEARNED most frequent ones that stand near sensitive words in the table itself, counted by documents.
+Only whole runs without digits are learned, so no part of a key is, however many copies it has.  Text that is built from
+known identifiers or repeats its surroundings adds little; a random key adds nearly all its bits.
 
 Defined cases.  Null text: empty, no spans, the digest of the empty string.  Empty table: no rows.  Repeated rows give
 repeated results.  Texts are scanned whole, in time linear in their length however many sensitive words or spans they
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from itertools import accumulate
 
 import zstandard
@@ -27,6 +30,8 @@ from .common import chunks, read, released, schema, small_batches, table, texts
 NOVELTY, BEFORE, AFTER, REACH = 0.55, 512, 128, 48
 #: Least characters of a run; a run up to SHORT is measured from each sensitive word in it.
 LEAST, SHORT = 16, 256
+#: Identifiers learned from the table.
+LEARNED = 2048
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "bearer", "authorization", "client_id", "signature")
@@ -44,6 +49,7 @@ _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 _WORD = re.compile("|".join(sorted(map(re.escape, SENSITIVE), key=len, reverse=True)))
 _RUN, _KEY = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{LEAST}}}"), re.compile(r"[A-Za-z0-9+/_=.\-]*")
+_NAME = re.compile(r"(?<![A-Za-z0-9+/=_.\-])[A-Za-z_]{4,40}(?![A-Za-z0-9+/=_.\-])")
 _DIGIT, _ALPHA = re.compile(r"[0-9][^0-9]*[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -58,11 +64,43 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _near(text: str, low: str) -> set[str]:
+    """Whole identifiers without digits within BEFORE characters before a sensitive word and AFTER behind it."""
+    found, done = set(), 0
+    for w in _WORD.finditer(low):
+        lo, hi = max(done, w.start() - BEFORE), min(len(text), w.end() + AFTER)
+        if hi > lo:
+            found.update(m[0] for m in _NAME.finditer(text, lo, hi))
+        done = max(done, hi)
+    return found
+
+
+def learn_identifiers(docs: DataFrame, most: int = LEARNED) -> str:
+    """The fixed identifiers after the most frequent ones near sensitive words, rare ones first (the end of a dictionary
+    is the nearest).  Counts cover all documents; `most` words come to the driver."""
+    out = schema("word:string,n:long")
+
+    def run(batches):
+        for b in batches:
+            n: Counter[str] = Counter()
+            for t in b.column(1).to_pylist():
+                low = (t or "").lower()
+                if len(low) == len(t or "") and any(w in low for w in SENSITIVE):
+                    n.update(_near(t, low))
+            if n:
+                yield table(out, word=list(n), n=list(n.values()))
+
+    found = texts(docs.select(F.lit(None).cast("long").alias("doc_id"), "text")).mapInArrow(released(run), out).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = [r.word for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return " ".join([*reversed(words), IDENTIFIERS])
+
+
 class Novelty:
     """Marginal compressed sizes against the identifiers and the surrounding text."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, level: int = 6):
         known = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=level)
         self.frame = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=False, write_content_size=False)
 
     def size(self, data: bytes) -> int:
@@ -130,9 +168,10 @@ SPANS = schema("doc_id:long,n_assign:long,n_access:long,n_hex:long,n_novel:long,
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts by kind, the digest of the base spans and all spans, in code points."""
+    identifiers = learn_identifiers(docs)
 
     def run(batches):
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for b in batches:
             ids = b.column(0)
             for c in chunks(b.column(1)):
@@ -154,11 +193,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     out = docs.schema
     at, kinds = [f.name for f in out].index("text"), to_arrow_schema(out)
+    identifiers = learn_identifiers(docs)
 
     def run(batches):
         import pyarrow as pa
 
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for b in batches:
             new = []
             for t in b.column(at).to_pylist():

@@ -114,3 +114,19 @@ def test_scan_is_linear(text):
     began = time.time()
     secrets.scan(text, novelty)
     assert time.time() - began < 20
+
+
+def test_learned_identifiers(spark):
+    key = "x9QfT2mLr8VbZk4WcY7pHs3NdJ6gAe1U"
+    build = "XBuildFrobnicatorStage2Runner2Handler"
+    texts = [f"secret {key} for {w} is {build} in frobnicate_the_runner" for w in ("XBuildFrobnicator", "StageRunner", "XBuildFrobnicator StageRunner Handler")] * 40 + [None, "", "no word XBuildOther here", "token " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    learned = secrets.learn_identifiers(docs).removesuffix(secrets.IDENTIFIERS).split()
+    assert {"XBuildFrobnicator", "StageRunner", "frobnicate_the_runner"} <= set(learned) and "XBuildOther" not in learned
+    assert not any(x in key or x in build for x in learned if x not in ("XBuildFrobnicator", "StageRunner", "Handler"))
+    assert secrets.learn_identifiers(docs, 1).removesuffix(secrets.IDENTIFIERS).split()[0] in texts[0]
+    plain, primed = secrets.Novelty(), secrets.Novelty(secrets.learn_identifiers(docs))
+    t = f"credential: {build} or {key}"
+    of = lambda n, w: n.of(t, t.index(w), t.index(w) + len(w))
+    assert of(primed, build) < of(plain, build) and of(primed, key) >= secrets.NOVELTY
+    assert all(f"novel:{t.index(key)}:" in r.spans for r in secrets.find_secrets(docs).collect() if r.doc_id < 120 for t in [texts[r.doc_id]])
