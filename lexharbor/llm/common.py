@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -167,13 +168,18 @@ def scratch(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stored(df: DataFrame, spark: SparkSession | None = None, codec: str = "zstd") -> DataFrame:
+_kept: set[str] = set()
+
+
+def stored(df: DataFrame, spark: SparkSession | None = None, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back: lineage ends there, so a lost executor
-    costs only the tasks that read it."""
+    costs only the tasks that read it.  keep: scratch_tables leaves it."""
     spark = spark or df.sparkSession
     path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
     _written.append(path)
+    if keep:
+        _kept.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -197,13 +203,29 @@ def released(run):
     return wrapped
 
 
-def drop(spark: SparkSession, df: DataFrame | None = None) -> None:
-    """Deletes the scratch tables of this process (or those that df reads) once no lazy result reads them."""
-    gone = [p for p in _written if df is None or any(p in f for f in df.inputFiles())]
-    for p in gone:
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the scratch tables that df reads, once no lazy result reads them."""
+    files = df.inputFiles()
+    _delete(spark, [p for p in _written if any(p.split("lexharbor-")[-1] in f for f in files)])
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Deletes the scratch tables that were written within it, but for those to keep: for steps whose result is written
+    in the end."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _delete(spark, [p for p in _written if p not in before and p not in _kept])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         _written.remove(p)
+        _kept.discard(p)
 
 
 def table(schema: T.StructType, **columns) -> pa.RecordBatch:

@@ -188,3 +188,14 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 101 and back.where("key = 'k' and shard = 's' and _key = 'x'").count() == 101
     assert back.select("shard_").distinct().count() > 5 and back.groupBy("doc_id").agg(F.count_distinct("shard_").alias("n")).where("n > 1").isEmpty()
+
+
+def test_scratch_tables_go(spark, sf):
+    import corpus_pipeline
+    from lexharbor.llm import common
+
+    before = list(common._written)
+    out = corpus_pipeline.run(spark, sf)
+    assert len(common._written) == len(before) + 1 and out.count() > 0  # the result alone is left
+    common.drop(spark, out)
+    assert common._written == before
