@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexharbor.llm import nearcopies, packing, passages, quality, secrets
-from lexharbor.llm.common import read, stored
+from lexharbor.llm.common import drop, read, scratch_tables, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,18 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the forest, the trees or the packing; the stages are tested against brute force.
+#: SQL can't express the forest, the trees or the packing; tests/llm/test_stages.py holds every stage against a
+#: brute-force version on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages one after another.  A stage's scratch tables and its input go once its result is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), spark)
+        with scratch_tables(spark):
+            after = stored(stage(spark, docs, sf_dir), spark, keep=True)
+        if before is not None:
+            drop(spark, before)
+        docs = before = after
     return docs
