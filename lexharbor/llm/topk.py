@@ -1,7 +1,8 @@
 """Operator 4: exact top-k inner products by dual-tree search over cover trees.
 
 The top level of both trees is shared: pivots, chosen farthest-first from a bounded sample (POOL rows), and every row in
-the cell of its nearest pivot.  A cell has an exact covering radius for its candidates and one for its queries.  Below
+the cell of its nearest pivot; for queries, of the first few pivots, so that their cells are as large as a block.  A cell
+has an exact covering radius for its candidates and one for its queries.  Below
 it, a task holds one pair of cells (or of parts of them, dealt by hash, where a cell is large) and builds a tree over
 each side: a node's children are centres chosen farthest-first, every point goes to its nearest centre, and a node keeps
 its exact covering radius.  A pair of cells or nodes is dropped when
@@ -189,7 +190,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     spark = vectors.sparkSession
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     pivots = _pivots(vectors, size.n, size.width or 1, min(CELLS, max(1, math.ceil(size.n / block))))
-    vectors, queries = stored(_placed(vectors, pivots), spark), stored(_placed(queries, pivots), spark)
+    asked = pivots[: max(1, math.ceil(queries.count() / query_block))]  # a candidate is sent once to each cell of queries
+    vectors, queries = stored(_placed(vectors, pivots), spark), stored(_placed(queries, asked), spark)
     # per cell (CELLS at most): rows and covering radius
     cells = lambda df: {r.cell: (r.n, r.radius) for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
     cand, ask = cells(vectors), cells(queries)
