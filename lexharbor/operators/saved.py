@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names in spark.checkpoint.dir.  Only a local session, as in
-    tests, gets a folder of its own where none is set; a cluster's machines would not share it."""
+    """The rows written as a table in the folder that the session names in spark.checkpoint.dir, and read back: lineage
+    ends there, and the rows are computed once (a checkpoint computes them twice).  Only a local session, as in tests,
+    gets a folder of its own where none is set; a cluster's machines would not share it."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            folder = known.get()
+        elif sc.master == "local" or sc.master.startswith("local["):
             import tempfile
 
-            folder = tempfile.mkdtemp(prefix="lexharbor-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+            folder = "file://" + tempfile.mkdtemp(prefix="lexharbor-")
+            sc.setCheckpointDir(folder)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    path = f"{folder.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
