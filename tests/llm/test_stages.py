@@ -199,3 +199,13 @@ def test_scratch_tables_go(spark, sf):
     assert len(common._written) == len(before) + 1 and out.count() > 0  # the result alone is left
     common.drop(spark, out)
     assert common._written == before
+
+
+def test_near_copies_whose_repeats_differ_in_number(spark):
+    """Equal sets of shingles but for a few, with a line that stands there 60 or 160 times."""
+    r, data = random.Random(5), []
+    for i in range(12):
+        own, line = [f"w{r.randrange(10**6)}" for _ in range(120)], " ".join(f"r{r.randrange(10**6)}" for _ in range(8))
+        data += [(10 * i + k, "\n".join([" ".join(own), *[line] * n])) for k, n in ((1, 60), (2, 160))]
+    found = nearcopies.near_copies(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in found.collect()} == {k: k - k % 10 + 1 for k, _ in data}
