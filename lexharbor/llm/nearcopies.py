@@ -16,12 +16,12 @@ copies of each other.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, has_repeats, mix, released, schema, stored, table, texts
+from .common import Chunk, U64, chunks, components, has_repeats, mix, released, schema, stored, table, texts
 from .passages import rolled
 from .simhash import TREE, BKTree
 
@@ -64,8 +64,24 @@ def _like(a: bytes, b: bytes) -> float:
     return float((again & (rank <= most)).sum() / max(1, most))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    (c,) = chunks(pa.array([text], pa.large_string()), 1 << 40)
+PACKED = schema("doc_id:long,packed:binary")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The key and the compressed text: a text is sent to a shard for each of its keys, and few are ever compared."""
+
+    def run(batches):
+        frame = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for c in chunks(b.column(1)):
+                yield table(PACKED, doc_id=b.column(0).slice(c.lo, len(c)), packed=[frame.compress(c.bytes_of(i)) for i in range(len(c))])
+
+    return texts(docs).where("doc_id is not null").mapInArrow(released(run), PACKED)
+
+
+def shingle_set(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    c = Chunk(0, 1, raw, np.array([0, len(raw)]))
     s, e, _ = c.words(lower=True)
     return np.unique(rolled(c.hashes(s, e), max(1, min(SHINGLE, len(s)))))
 
@@ -82,7 +98,7 @@ class Shard:
     def __init__(self):
         self.tree, self.rows, self.sets = BKTree(), [], {}
 
-    def links(self, doc: int, fp: int, sketch: bytes, text: str, keep: bool) -> list[tuple[int, int]]:
+    def links(self, doc: int, fp: int, sketch: bytes, text: bytes, keep: bool) -> list[tuple[int, int]]:
         """From this row to one similar row of every component that has one."""
         x, own = fp & (1 << 64) - 1, []
 
@@ -117,7 +133,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy("k", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     met = rows.join(sizes, ["k", "key"]).withColumn("s", F.greatest(F.ceil(F.col("n") / TREE), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int"))
     met = met.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")).select("doc_id", "k", "key", "home", "s")
-    met = met.join(one.select("doc_id", "fp", "sketch"), "doc_id").hint("shuffle_hash").join(texts(docs).where("doc_id is not null"), "doc_id")
+    met = met.join(one.select("doc_id", "fp", "sketch"), "doc_id").hint("shuffle_hash").join(packed(docs), "doc_id")
     met = met.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("asks", F.col("home") != F.col("shard"))
     # the rows that a shard keeps come first; those that only ask pass by and aren't held
     met = met.repartition("k", "key", "shard").sortWithinPartitions("k", "key", "shard", "asks", "doc_id")
@@ -126,14 +142,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
         last, shard = None, Shard()
         for b in batches:
             got: list[tuple[int, int]] = []
-            for k, key, s, asks, doc, fp, sketch, text in zip(*(c.to_pylist() for c in b.columns)):
+            for k, key, s, asks, doc, fp, sketch, data in zip(*(c.to_pylist() for c in b.columns)):
                 if (k, key, s) != last:
                     last, shard = (k, key, s), Shard()
-                got += shard.links(doc, fp, sketch, text, not asks)
+                got += shard.links(doc, fp, sketch, data, not asks)
             if got:
                 yield table(LINKS, a=[min(x) for x in got], b=[max(x) for x in got])
 
-    edges = stored(met.select("k", "key", "shard", "asks", "doc_id", "fp", "sketch", "text").mapInArrow(released(run), LINKS).distinct(), spark)
+    edges = stored(met.select("k", "key", "shard", "asks", "doc_id", "fp", "sketch", "packed").mapInArrow(released(run), LINKS).distinct(), spark)
     roots = components(edges, spark)
     member = one.select("th", "doc_id").join(roots, one["doc_id"] == roots["node"], "left").select("th", F.coalesce("root", "doc_id").alias("component_id"))
     return all_.select("doc_id", "th").join(member, "th").select("doc_id", "component_id")
