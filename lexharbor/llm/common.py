@@ -135,6 +135,14 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents.  A small table may be one row group, which Spark reads in one task whatever the cores; its rows are
+    dealt to all of them, as what follows costs far more than the read.  A table with a split for each core is left as it
+    is."""
+    docs, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the text, with null texts made empty; all other columns are pruned from the scan."""
     small_batches(docs.sparkSession)

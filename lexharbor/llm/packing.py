@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, per_doc, read, released, schema, table, texts
+from .common import by_key, chunks, per_doc, read_texts, released, schema, table, texts
 
 LENGTHS, BEND, SHARD = (512, 1024, 2048, 4096, 8192), 16384, 20_000
 LENS = schema("doc_id:long,n_tokens:long")
@@ -109,4 +109,4 @@ def pack_documents(lens: DataFrame, lengths: tuple[int, ...] = LENGTHS, bend: fl
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from .common import stored
 
-    return pack_documents(stored(token_lengths(read(spark, sf_dir, "documents")), spark))
+    return pack_documents(stored(token_lengths(read_texts(spark, sf_dir)), spark))

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Chunk, U64, chunks, ragged, read, released, schema, spans_hash, table, texts, tokenizer_file
+from .common import Chunk, U64, chunks, ragged, read_texts, released, schema, spans_hash, table, texts, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -328,4 +328,4 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return piece_digests(read(spark, sf_dir, "documents"))
+    return piece_digests(read_texts(spark, sf_dir))

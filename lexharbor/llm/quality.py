@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, chunks, mix, per_doc, read, released, schema, small_batches, stored, table, texts
+from .common import _SPACE, U64, chunks, mix, per_doc, read, read_texts, released, schema, small_batches, stored, table, texts
 
 TREES, PSI, POOL, BINS, MAX_GOOD, SEED = 100, 256, 8192, 2000, 0.03, 17
 WINDOW = 8
@@ -216,5 +216,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    out = judge(read_texts(spark, sf_dir), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, read, released, schema, small_batches, table, texts
+from .common import chunks, read_texts, released, schema, small_batches, table, texts
 
 #: Least marginal bytes per character, and characters of context before, after and between word and candidate.
 NOVELTY, BEFORE, AFTER, REACH = 0.55, 512, 128, 48
@@ -220,4 +220,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(read(spark, sf_dir, "documents"))
+    return find_secrets(read_texts(spark, sf_dir))

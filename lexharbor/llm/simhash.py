@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, chunks, components, read, released, schema, stored, table, texts
+from .common import by_key, chunks, components, read_texts, released, schema, stored, table, texts
 
 SHINGLE, RADIUS, SEED, TREE = 4, 4, 42, 4000
 PRINTS = schema("doc_id:long,fp:long")
@@ -175,5 +175,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def op7_simhash_bktree(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read(spark, sf_dir, "documents"))
+    out = near_duplicates(read_texts(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Chunk, LOWER, U64, chunks, ragged, read, released, schema, scratch, stored, table, texts, tokenizer_file, _written
+from .common import Chunk, LOWER, U64, chunks, ragged, read_texts, released, schema, scratch, stored, table, texts, tokenizer_file, _written
 
 MODEL, END = "word_bpe_49k.json", 1
 BLOCK, SHARD, BITS_PER_KEY, HASHES = 64 << 10, 8 << 20, 10, 7
@@ -345,5 +345,5 @@ def token_offsets(spark, path: str) -> DataFrame:
 def op5_token_tables(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     _written.append(path)
-    write_tables(read(spark, sf_dir, "documents"), path)
+    write_tables(read_texts(spark, sf_dir), path)
     return token_offsets(spark, path)
