@@ -19,8 +19,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select(*columns) if columns else df
+    """The documents.  If texts are read from fewer splits than there are cores (a small table of one row group), their
+    rows are dealt to all cores; a larger table is left as the scan cuts it."""
+    df, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    df = df.select(*columns) if columns else df
+    return df.repartition(cores) if "text" in df.columns and df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
