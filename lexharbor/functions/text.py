@@ -19,10 +19,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^[{SPACES}]+", ""), f"[{SPACES}]+$", "")
 
 
+def _plain_spaces(text: Column) -> Column:
+    """All white space as one character: Java matches a negated class with members beyond Latin-1 about six times slower
+    than one of a single character."""
+    return F.translate(text, _SPACE_CHARS, " " * len(_SPACE_CHARS))
+
+
 def word_count(text: Column) -> Column:
-    """Runs of other characters than white space.  All white space becomes one character first: Java matches a negated
-    class with members beyond Latin-1 about six times slower than one of a single character."""
-    return F.coalesce(F.regexp_count(F.translate(text, _SPACE_CHARS, " " * len(_SPACE_CHARS)), F.lit("[^ ]+")), F.lit(0))
+    """Runs of other characters than white space."""
+    return F.coalesce(F.regexp_count(_plain_spaces(text), F.lit("[^ ]+")), F.lit(0))
 
 
 def byte_length(text: Column) -> Column:
@@ -139,7 +144,7 @@ def tei_file_year(name: Column) -> Column:
 
 def word_like_share(text: Column) -> Column:
     """Our own measure: the share of white-space words that are letters with at most edge punctuation."""
-    words = F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), 0)
+    words = F.regexp_extract_all(_plain_spaces(text), F.lit("[^ ]+"), 0)
     like = F.filter(words, lambda w: w.rlike(r"^\p{P}*\p{L}+(['’-]\p{L}+)*\p{P}*$"))
     return F.when(F.size(words) > 0, F.size(like) / F.size(words)).otherwise(F.lit(float("nan")))
 
