@@ -1,25 +1,27 @@
 """Operator 2: language-model scoring with a hierarchical Pitman-Yor model.
 
-The model.  A token follows a context, the token before it.  Context restaurants share parent restaurants, and those
-share one root over the vocabulary.  A context's number has 2^k values: its leading k / 2 bits are a hash of the last
-three bytes of the previous token, the others a hash of that whole token; the parent is the leading bits alone, so words
-with one ending share a parent.  k grows with the corpus, a context for each KB of text, up to 2^22 (the table totals of
-all contexts must fit a task's memory).  The base measure is even over the V known words and one class of all words that
-training never held, so the probabilities of the known words and that class sum to one in every context.
-
-Seating is in the module seating: Gibbs sweeps that seat all customers of every dish anew.  Sweeps know the totals of
-whole restaurants from the end of the round before: a first round of BURN_IN sweeps starts from one table a dish, a
-second one starts again with the totals that the first one ended with, and keeps SAMPLES states after as many sweeps.  A
-token's probability is the mean of its predictive probabilities under the kept states, each with its own totals, so they
-are normalised.  Draws are made from hashes of word, context and sweep: the result depends neither on buckets nor on
+The model.  A token follows a context, the token before it (or a document's start).  Every context is a restaurant of its
+own, known by its word's 64-bit hash; none are merged.  Its parent is the context shortened by that token, the empty one:
+the root, a restaurant over the vocabulary.  The base measure is even over the V known words and one class of all words
+that training never held, so the probabilities of the known words and that class sum to one in every context.
+
+Inference is Gibbs sampling of seats, discounts and strengths (module seating).  A sweep seats all customers of all contexts
+given the root's measure, then all customers of the root given the tables of the contexts, draws the root's measure
+from its seats, and draws both levels' discount and strength from their posterior over a grid.  All totals are those of
+the present state.  Contexts are independent given the root's measure, so a sweep on many machines is the same as on one.
+One step is not exact: the mass that the root's measure leaves to its base is spread as the base is, which is its mean.
+After BURN_IN sweeps from one table a dish, SAMPLES states are kept, one a sweep.  A token's probability is the mean of
+its predictive probabilities under the kept states, each with its own seats, totals and parameters, so they are
+normalised.  Draws are made from hashes of word, context and sweep: the result depends neither on buckets nor on
 partitions.
 
 Distribution.  Documents are read once, in groups of some megabytes: a group keeps the documents of its tokens, and sends
-each bucket of words its distinct (word, context) pairs with their counts.  A bucket adds them up and keeps what every
-group asks for; it runs the sweeps, and answers each group with the probabilities of its pairs.  Vocabulary, pairs and
-seats stay distributed; only totals by restaurant, 4 vectors of 2^k numbers at most, pass through the driver.  Empty
-parts aren't sent, so parts are as many as a group's pairs at most.  A bucket's requests are kept in rows of REQUESTS
-pairs, each with the bucket's counts, so a word that all groups ask for is answered by many tasks.
+each bucket of contexts its distinct (context, word) pairs with their counts.  A bucket holds whole contexts.  It adds the
+counts up and keeps what every group asks for.  Only pairs that occur more than once have seats to draw, so sweeps read
+these alone.  The root is dealt in slices by word: a slice adds up the tables of all buckets and answers each bucket with
+its words' part.  Sums over everything, a few hundred numbers, pass through the driver.  In the end a bucket answers
+each group with the probabilities of its pairs.  Empty parts aren't sent, so parts are as many as a group's pairs at most.
+A bucket holds all pairs of its contexts, so the most frequent word makes the largest task.
 
 Words are known by 64-bit hashes: with V distinct words two share one with probability V^2 / 2^65 (a billion: 3 %).
 
@@ -38,19 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, by_bucket, by_key, chunks, mix, pack, per_doc, read_texts, released, schema, stored, table, texts, unpack
-from .seating import Seating, Totals
+from . import seating
+from .common import U64, by_bucket, by_key, chunks, drop, pack, per_doc, read_texts, released, schema, shuffles_dropped, stored, table, texts, unpack
 
 SAMPLES, BURN_IN = 3, 3
-#: Bytes of text for a context; least and most bits of a context's number.
-CONTEXT_BYTES, BITS = 1024, (10, 22)
-GROUP_BYTES, BUCKET_BYTES, REQUESTS = 6 << 20, 12 << 20, 4 << 20
-#: Numbers in a part of a vector of totals.
-SLICE = 1 << 16
+GROUP_BYTES, BUCKET_BYTES, REQUESTS = 9 << 20, 12 << 20, 4 << 20
+#: Bytes of text whose words stand in one slice of the root.
+SLICE_BYTES = 128 << 20
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0x13198A2E03707344)
-GROUPS = T.StructType([T.StructField("gid", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("parts", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])))])
-BUCKETS = schema("bucket:int,first:boolean,counts:binary,requests:binary")
-SUMS = schema("slice:int,payload:binary")
+LOW = (1 << 32) - 1
+PIECES = T.ArrayType(T.StructType([T.StructField("to", T.IntegerType()), T.StructField("payload", T.BinaryType())]))
+DOCS, PARTS = 0, 1
+GROUPS = schema("bucket:int,gid:long,kind:int,payload:binary")
+BUCKETS = T.StructType([*schema("bucket:int,gid:long,first:boolean,docs:binary,counts:binary,busy:binary,requests:binary").fields, T.StructField("words", PIECES)])
+ROOT = schema("slice:int,bucket:int,drawn:binary,seats:binary,sums:binary")
+STATE = T.StructType([*schema("bucket:int,seats:binary").fields, T.StructField("rise", PIECES), T.StructField("sums", T.BinaryType())])
+SUMS = schema("sums:binary")
+ANSWERS = schema("gid:long,bucket:int,payload:binary")
 SCORES = schema("doc_id:long,held_out:boolean,n_tokens:long,n_known:long,train_tokens:long,base_score:double,score:double")
 
 
@@ -58,225 +64,314 @@ def held_out(doc_ids) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 5 == 1 for x in doc_ids], bool)
 
 
-def tokens(c, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with ends, context numbers and document numbers of all tokens of a chunk."""
+def tokens(c) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names (hashes of words, the end and the start, sorted), and for every token of a chunk the places of its word and of
+    its context among them, and its document."""
     s, e, d = c.words(lower=True)
     n = len(c)
     words = np.bincount(d, minlength=n)
     at = np.arange(len(s)) + d  # every earlier document has an end token
     ends = np.cumsum(words) + np.arange(n)
-    h = np.empty(len(s) + n, U64)
-    h[at], h[ends] = c.hashes(s, e), END
-    doc = np.empty(len(h), np.int64)
+    h = np.empty(len(s) + n + 1, U64)
+    h[at], h[ends], h[-1] = c.hashes(s, e), END, BEGIN
+    doc = np.empty(len(h) - 1, np.int64)
     doc[at], doc[ends] = d, np.arange(n)
-    low = bits[0] - bits[1]
-    number = lambda whole, ending: ((mix(ending) >> U64(64 - bits[1])) << U64(low) | mix(whole ^ BEGIN) >> U64(64 - low)).astype(np.int64)
-    ctx = np.full(len(h), number(np.full(1, BEGIN), np.full(1, BEGIN))[0])
-    ctx[at + 1] = number(h[at], c.hashes(np.maximum(s, e - 3), e))  # a word is never the last token
-    return h, ctx, doc
+    names, code = np.unique(h, return_inverse=True)
+    ctx = np.empty(len(doc), np.int64)
+    ctx[1:] = code[:-2]
+    ctx[np.append(0, ends[:-1] + 1)] = code[-1]
+    return names, code[:-1], ctx, doc
+
+
+def _dealt(names: np.ndarray, n: int) -> np.ndarray:
+    """The places of hashes among n equal ranges; it rises with the hash."""
+    return (((names >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
+
+
+def _ranges(place: np.ndarray):
+    """Runs of equal places: (place, start, end)."""
+    where, at = np.unique(place, return_index=True)
+    return zip(where.tolist(), at.tolist(), [*at[1:].tolist(), len(place)])
+
+
+def _gaps(sorted_names: np.ndarray) -> np.ndarray:
+    """Sorted hashes as differences: their high bytes are zeros."""
+    return np.diff(sorted_names, prepend=U64(0))
 
 
-def groups(docs: DataFrame, buckets: int, bits: tuple[int, int]) -> DataFrame:
+def _part(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words, and the places of both and the count of every pair of a group's part."""
+    ctx, per, word, count = unpack(data)
+    names, place = np.unique(word, return_inverse=True)
+    return np.cumsum(ctx, dtype=U64), names, np.repeat(np.arange(len(per)), per), place, count
+
+
+def _pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As _part, of a bucket's counts, which name every word once."""
+    ctx, per, word, place, count = unpack(data)
+    return np.cumsum(ctx, dtype=U64), np.cumsum(word, dtype=U64), np.repeat(np.arange(len(per)), per), place, count
+
+
+def groups(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         seq, part = 0, TaskContext.get().partitionId()
         for b in batches:
             for c in chunks(b.column(1), GROUP_BYTES):
                 ids = b.column(0).slice(c.lo, len(c)).to_pylist()
                 out = held_out(ids)
-                h, ctx, doc = tokens(c, bits)
-                word, code = np.unique(h, return_inverse=True)
-                pair, code = np.unique(code << bits[0] | ctx, return_inverse=True)
+                names, code, ctx, doc = tokens(c)
+                pair, code = np.unique(ctx << 32 | code, return_inverse=True)
                 count = np.bincount(code[~out[doc]], minlength=len(pair))
-                owner = pair >> bits[0]
-                place = (((word >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-                where, at = np.unique(place, return_index=True)
-                cut, per = [*at.tolist(), len(word)], np.bincount(owner, minlength=len(word))
-                cut_pair = np.searchsorted(owner, cut).tolist()
-                cell = pair & (1 << bits[0]) - 1
-                parts = []
-                for k, a, z, i, j in zip(where.tolist(), cut, cut[1:], cut_pair, cut_pair[1:]):
-                    # sorted hashes as differences: their high bytes are zeros
-                    parts.append({"bucket": k, "payload": pack(np.diff(word[a:z], prepend=U64(0)), per[a:z], cell[i:j], count[i:j])})
+                owner, word = pair >> 32, pair & LOW
+                rows = []
+                for k, i, j in _ranges(_dealt(names, buckets)[owner]):
+                    own, per = np.unique(owner[i:j], return_counts=True)
+                    rows.append((k, PARTS, pack(_gaps(names[own]), per, names[word[i:j]], count[i:j])))
                 known = np.array([x is None for x in ids])
                 # scores are sums, so a document's tokens need no order: the documents of each pair's tokens are kept
-                blob = pack(np.array([0 if x is None else x for x in ids], np.int64).view(U64), known, doc[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(pair)), per)
-                yield table(GROUPS, gid=[(part << 32) + seq], docs=[blob], parts=[parts])
+                blob = pack(np.array([0 if x is None else x for x in ids], np.int64).view(U64), known, doc[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(pair)))
+                rows.append((seq % buckets, DOCS, blob))
+                bucket, kind, payload = zip(*rows)
+                yield table(GROUPS, bucket=bucket, gid=[(part << 32) + seq] * len(rows), kind=kind, payload=payload)
                 seq += 1
 
     return texts(docs).mapInArrow(released(run), GROUPS)
 
 
-def _added(held: tuple, word: np.ndarray, pair_word: np.ndarray, cell: np.ndarray, count: np.ndarray, bits: tuple[int, int]) -> tuple:
-    """Words, keys of pairs (place of the word, cell) and counts, with another list of them added."""
-    names, old = np.unique(np.concatenate([held[0], word]), return_inverse=True)
-    key = np.concatenate([old[: len(held[0])][held[1] >> bits[0]] << bits[0] | held[1] & (1 << bits[0]) - 1, old[len(held[0]) :][pair_word] << bits[0] | cell])
-    key, which = np.unique(key, return_inverse=True)
-    return names, key, np.bincount(which, np.concatenate([held[2], count]), len(key)).astype(np.int64)
+def _added(held: tuple, more: list[tuple]) -> tuple:
+    """Contexts, words, keys of pairs (places of context and word) and counts, with some parts added."""
+    ctx, old = np.unique(np.concatenate([held[0], *(x[0] for x in more)]), return_inverse=True)
+    word, old_word = np.unique(np.concatenate([held[1], *(x[1] for x in more)]), return_inverse=True)
+    keys, i, j = [old[held[2] >> 32] << 32 | old_word[held[2] & LOW]], len(held[0]), len(held[1])
+    for x in more:
+        keys.append(old[i + x[2]] << 32 | old_word[j + x[3]])
+        i, j = i + len(x[0]), j + len(x[1])
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return ctx, word, key, np.bincount(which, np.concatenate([held[3], *(x[4] for x in more)]), len(key)).astype(np.int64)
 
 
-def bucket_counts(grouped: DataFrame, buckets: int, bits: tuple[int, int]) -> DataFrame:
-    """Per bucket its words, pairs and counts, and for each group the places of the group's words and pairs among them."""
-    parts = grouped.select("gid", F.explode("parts").alias("x")).select(F.col("x.bucket").alias("bucket"), "gid", F.lit(1).alias("kind"), F.col("x.payload").alias("payload"))
+def bucket_counts(grouped: DataFrame, buckets: int, slices: int) -> DataFrame:
+    """Per bucket its pairs and counts, those with seats to draw, its words for the root, and for each group the places of
+    the group's pairs; the groups' documents pass through."""
 
-    def part(data):
-        names, per, cell, count = unpack(data)
-        return np.cumsum(names, dtype=U64), np.repeat(np.arange(len(per)), per), cell, count
+    def row(bucket, gid, first=False, docs=None, counts=None, busy=None, requests=None, words=()):
+        return table(BUCKETS, bucket=[bucket], gid=[gid], first=[first], docs=[docs], counts=[counts], busy=[busy], requests=[requests], words=[list(words)])
 
     def run(batches):
-        for own in by_bucket(batches):
-            held = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for all_ in by_bucket(batches):
+            for x in all_:
+                if x[1] == DOCS:
+                    yield row(x[3], x[0], docs=x[2])
+            own = [x for x in all_ if x[1] == PARTS]
+            if not own:
+                continue
+            held = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for i in range(0, len(own), 16):
-                more = [part(x[2]) for x in own[i : i + 16]]
-                at = np.cumsum([0, *(len(x[0]) for x in more)])
-                held = _added(held, np.concatenate([x[0] for x in more]), np.concatenate([x[1] + k for x, k in zip(more, at)]), *(np.concatenate([x[j] for x in more]) for j in (2, 3)), bits)
-            names, key, count = held
-            counts = pack(np.diff(names, prepend=U64(0)), np.bincount(key >> bits[0], minlength=len(names)), key & (1 << bits[0]) - 1, count)
+                held = _added(held, [_part(x[2]) for x in own[i : i + 16]])
+            names, words, key, count = held
+            ctx, word = key >> 32, key & LOW
+            many = count > 1
+            counts = pack(_gaps(names), np.bincount(ctx, minlength=len(names)), _gaps(words), word, count)
+            # a context without pairs to draw has a table a customer; how many there are of each size is enough
+            single, per = np.bincount(ctx, count == 1, len(names)).astype(np.int64), np.bincount(ctx[many], minlength=len(names))
+            idle, times = np.unique(single[per == 0], return_counts=True)
+            drawn, place = np.unique(word[many], return_inverse=True)
+            busy = pack(_gaps(names[per > 0]), single[per > 0], per[per > 0], _gaps(words[drawn]), place, count[many], idle, times)
+            asks = np.zeros(len(words), bool)
+            asks[drawn] = True
+            rise, raw = np.bincount(word, count > 0, len(words)).astype(np.int64), np.bincount(word, count, len(words)).astype(np.int64)
+            to = [{"to": k, "payload": pack(_gaps(words[i:j]), rise[i:j], raw[i:j], asks[i:j])} for k, i, j in _ranges(_dealt(words, slices))]
             first, gids, sizes, asked, n = True, [], [], [], 0
             for i, x in enumerate(own):
-                word, pair_word, cell, _ = part(x[2])
-                w = np.searchsorted(names, word)
-                p = np.searchsorted(key, w[pair_word] << bits[0] | cell)
-                gids.append(x[0]), sizes.append((len(w), len(p))), asked.append((np.diff(w, prepend=-1), np.diff(p, prepend=-1)))
+                own_ctx, own_word, a, z, _ = _part(x[2])
+                p = np.searchsorted(key, np.searchsorted(names, own_ctx)[a] << 32 | np.searchsorted(words, own_word)[z])
+                gids.append(x[0]), sizes.append(len(p)), asked.append(np.diff(p, prepend=-1))
                 n += len(p)
                 if n >= REQUESTS or i == len(own) - 1:
-                    yield table(BUCKETS, bucket=[x[3]], first=[first], counts=[counts], requests=[pack(np.array(gids, np.int64).view(U64), *np.array(sizes, np.int64).T, *(np.concatenate(v) for v in zip(*asked)))])
+                    requests = pack(np.array(gids, np.int64).view(U64), np.array(sizes), np.concatenate(asked))
+                    yield row(x[3], None, True, None, counts, busy, requests, to) if first else row(x[3], None, requests=requests)
                     first, gids, sizes, asked, n = False, [], [], [], 0
 
-    return parts.repartition(buckets, "bucket").mapInArrow(released(run), BUCKETS)
-
+    return grouped.repartition(buckets, "bucket").mapInArrow(released(run), BUCKETS)
 
-def _seated(data: bytes, bits: tuple[int, int]) -> tuple[Seating, np.ndarray]:
-    """A bucket's seating at its start, and the counts of its words."""
-    names, per, cell, count = unpack(data)
-    word = np.repeat(np.arange(len(per)), per)
-    return Seating(np.cumsum(names, dtype=U64), word, cell, count, bits), np.bincount(word, count, len(names)).astype(np.int64)
 
+class _Root:
+    """What all tasks know of the root: its totals, its drawn measure's parts, and the parameters of both levels."""
 
-class _Layout:
-    """Where the totals of one state stand in a flat vector."""
+    def __init__(self, sums: np.ndarray, level0: tuple[float, float], level1: tuple[float, float], number: int):
+        self.weights, (self.c0, self.t0, self.words, self.n) = float(sums[0]), (int(x) for x in sums[1:5])
+        self.level0, self.level1, self.number = level0, level1, number
+        discount, strength = level0
+        self.rest = float(seating.gammas(np.array([strength + discount * self.t0]), np.full(1, number << 8 | 5, U64))[0])
 
-    def __init__(self, bits: tuple[int, int]):
-        self.cells, self.parents = 1 << bits[0], 1 << bits[1]
-        self.size = self.cells + 2 * self.parents + 3
+    def measure(self, drawn: np.ndarray) -> np.ndarray:
+        """The words' probabilities in the drawn measure."""
+        return (drawn + self.rest / (self.words + 1)) / (self.weights + self.rest)
 
-    def add(self, to: np.ndarray, x: Seating) -> None:
-        a, b = self.cells, self.parents
-        to[:a] += np.bincount(x.cell, x.t2, a).astype(np.int64)
-        to[a : a + b] += np.bincount(x.par, x.c1, b).astype(np.int64)
-        to[a + b : a + 2 * b] += np.bincount(x.par, x.t1, b).astype(np.int64)
-        to[a + 2 * b : self.size] += [x.c0.sum(), x.t0.sum(), (x.c0 > 0).sum()]
+    def mass(self, number: int) -> float:
+        """The gamma variable of the root's restaurant for its next seats."""
+        discount, strength = self.level0
+        return float(seating.gammas(np.array([strength / discount + self.t0]), np.full(1, number << 8 | 6, U64))[0])
 
-    def totals(self, v: np.ndarray, c2: np.ndarray) -> Totals:
-        a, b = self.cells, self.parents
-        return Totals(c2, v[:a], v[a : a + b], v[a + b : a + 2 * b], int(v[-3]), int(v[-2]), int(v[-1]))
+    def predict(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        """Predictive probabilities of the root's words."""
+        discount, strength = self.level0
+        return (c0 - discount * t0 + (strength + discount * self.t0) / (self.words + 1)) / (strength + self.c0)
 
 
-def _sums(held: DataFrame, size: int, add) -> np.ndarray:
-    """A vector of `size` numbers added up over all buckets: add(vector, counts) in tasks, then by slices of the vector."""
+def _summed(df: DataFrame) -> np.ndarray:
+    """The sum of vectors: by partition, then of the partitions."""
 
     def run(batches):
-        v = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                add(v, x.as_py())
-        for i in range(0, size, SLICE):
-            if v[i : i + SLICE].any():
-                yield table(SUMS, slice=[i // SLICE], payload=[pack(v[i : i + SLICE])])
-
-    def total(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-                v = unpack(x.as_py())[0]
-                held[i] = held[i] + v if i in held else v
-        yield table(SUMS, slice=list(held), payload=[pack(v) for v in held.values()])
+        v = [unpack(x.as_py())[0] for b in batches for x in b.column(0)]
+        if v:
+            yield table(SUMS, sums=[pack(np.sum(v, 0))])
 
-    out = np.zeros(size, np.int64)
-    slices = -(-size // SLICE)
-    for r in held.where("first").select("counts").mapInArrow(released(run), SUMS).repartition(slices, "slice").mapInArrow(released(total), SUMS).collect():
-        v = unpack(bytes(r.payload))[0]
-        out[r.slice * SLICE : r.slice * SLICE + len(v)] = v
-    return out
+    rows = df.where("sums is not null").select("sums").mapInArrow(released(run), SUMS).collect()
+    return np.sum([unpack(bytes(r.sums))[0] for r in rows], 0) if rows else np.zeros(5 + len(seating.DISCOUNTS))
 
 
-ANSWERS = schema("gid:long,bucket:int,payload:binary")
+def root_seats(words: DataFrame, rise: DataFrame | None, slices: int, last: _Root | None, number: int) -> DataFrame:
+    """The root's seats and drawn measure for the words of each bucket, and sums.  words: the buckets' words with the
+    contexts they occur in; rise: the tables that dishes have beyond their first; last: the root's state before."""
+    rows = words if rise is None else words.unionByName(rise)
+    level = last.level0 if last else seating.START
+    mass, known = (last.mass(number), last.words) if last else (0.0, 0)
+
+    def run(batches):
+        for own in by_bucket(batches):
+            gids, names, c, raw, asks = [], [], [], [], []
+            for gid, kind, data, _ in own:
+                x = unpack(data)
+                if kind == 0:
+                    gids.append(gid), names.append(np.cumsum(x[0], dtype=U64)), c.append(x[1]), raw.append(x[2]), asks.append(x[3] > 0)
+                else:
+                    c[-1][asks[-1]] += x[0]
+            ends = np.cumsum([0, *map(len, names)]).tolist()
+            name, at = np.unique(np.concatenate(names), return_inverse=True)
+            c, raw = (np.bincount(at, np.concatenate(x), len(name)).astype(np.int64) for x in (c, raw))
+            t = seating.root_tables(name, c, mass, known, *level, number) if last else np.minimum(c, 1)
+            drawn = seating.root_weights(name, c, t, level[0], number)
+            for gid, i, j, a in zip(gids, ends, ends[1:], asks):
+                w = at[i:j]
+                yield table(ROOT, slice=[own[0][3]], bucket=[gid], drawn=[pack(drawn[w[a]])], seats=[pack(c[w], t[w], raw[w])], sums=[None])
+            sums = np.concatenate([[drawn.sum(), c.sum(), t.sum(), (raw > 0).sum(), raw.sum()], seating.dish_logs(c, t)])
+            yield table(ROOT, slice=[own[0][3]], bucket=[None], drawn=[None], seats=[None], sums=[pack(sums)])
+
+    return rows.repartition(slices, "bucket").mapInArrow(released(run), ROOT)
+
+
+def _row(df: DataFrame, kind: int, payload: str, gid=None) -> DataFrame:
+    return df.select(F.col("bucket").cast("int").alias("bucket"), (F.lit(0) if gid is None else gid).cast("long").alias("gid"), F.lit(kind).alias("kind"), F.col(payload).alias("payload"))
+
+
+def swept(held: DataFrame, root: DataFrame, known: _Root, state: DataFrame | None, buckets: int, slices: int) -> DataFrame:
+    """One sweep over all contexts: their seats, the tables beyond the first by word for the root, and sums."""
+    rows = _row(held.where("first"), 0, "busy").unionByName(_row(root.where("bucket is not null"), 1, "drawn", F.col("slice")))
+    if state is not None:
+        rows = rows.unionByName(_row(state, 2, "seats"))
+
+    def run(batches):
+        for own in by_bucket(batches):
+            by = {k: [x[2] for x in own if x[1] == k] for k in (0, 1, 2)}
+            names, single, per, words, place, c, idle, times = unpack(by[0][0])
+            words = np.cumsum(words, dtype=U64)
+            x = seating.Contexts(np.cumsum(names, dtype=U64), single, np.repeat(np.arange(len(per)), per), words[place], c)
+            if by[2]:
+                x.t = unpack(by[2][0])[0]
+            drawn = np.concatenate([unpack(d)[0] for d in by[1]])
+            x.sweep(known.measure(drawn)[place], *known.level1, known.number)
+            rise = np.bincount(place, x.t - 1, len(words)).astype(np.int64)
+            to = [{"to": k, "payload": pack(rise[i:j])} for k, i, j in _ranges(_dealt(words, slices))]
+            customers, tables = np.concatenate([x.customers(), idle]), np.concatenate([x.tables(), idle])
+            logs = seating.restaurant_logs(customers, tables, np.concatenate([np.ones(len(names)), times]))
+            yield table(STATE, bucket=[own[0][3]], seats=[pack(x.t)], rise=[to], sums=[pack(np.concatenate([seating.dish_logs(x.c, x.t), logs.ravel()]))])
+
+    return rows.repartition(buckets, "bucket").mapInArrow(released(run), STATE)
+
+
+def answers(held: DataFrame, kept: list[tuple[DataFrame, DataFrame, _Root]], buckets: int) -> DataFrame:
+    """For each group and bucket the logarithms of the group's pairs under the kept states and their words' counts."""
+    rows = _row(held.where("first"), 0, "counts").unionByName(_row(held.where("requests is not null"), 1, "requests"))
+    for s, (state, root, _) in enumerate(kept):
+        rows = rows.unionByName(_row(state, 2, "seats", F.lit(s))).unionByName(_row(root.where("bucket is not null"), 3, "seats", F.col("slice") + F.lit(s << 32)))
+    known = [x for _, _, x in kept]
+
+    def run(batches):
+        for own in by_bucket(batches):
+            by = {k: [(x[0], x[2]) for x in own if x[1] == k] for k in range(4)}
+            names, _, ctx, word, count = _pairs(by[0][0][1])
+            many, p = count > 1, 0.0
+            c1 = np.bincount(ctx, count, len(names))
+            for s, state in by[2]:
+                c0, t0, raw = (np.concatenate(x) for x in zip(*(unpack(d) for g, d in by[3] if g >> 32 == s)))
+                t = np.minimum(count, 1)
+                t[many] = unpack(state)[0]
+                discount, strength = known[s].level1
+                back = (strength + discount * np.bincount(ctx, t, len(names))) / (strength + c1)
+                p = p + (count - discount * t) / (strength + c1)[ctx] + back[ctx] * known[s].predict(c0, t0)[word]
+            logs, raw = np.log10(p / len(known)).astype(np.float32), raw[word]
+            for _, data in by[1]:
+                gids, sizes, q = unpack(data)
+                ends = np.cumsum(sizes).tolist()
+                for g, i, j in zip(gids.view(np.int64).tolist(), [0, *ends], ends):
+                    at = np.cumsum(q[i:j]) - 1
+                    yield table(ANSWERS, gid=[g], bucket=[own[0][3]], payload=[pack(logs[at], raw[at])])
+
+    return rows.repartition(buckets, "bucket").mapInArrow(released(run), ANSWERS)
+
+
+def sampled(held: DataFrame, buckets: int, slices: int, samples: int, burn_in: int) -> list[tuple[DataFrame, DataFrame, _Root]]:
+    """The kept states: the contexts' seats, the root's, and what all tasks know."""
+    spark, kept = held.sparkSession, []
+    piece = lambda df, column, kind: df.select("bucket", F.explode(column).alias("x")).select(F.col("x.to").alias("bucket"), F.col("bucket").cast("long").alias("gid"), F.lit(kind).alias("kind"), F.col("x.payload").alias("payload"))
+    words = piece(held.where("first"), "words", 0)
+    root, state, grid = stored(root_seats(words, None, slices, None, 0), spark), None, len(seating.DISCOUNTS)
+    known = _Root(_summed(root)[:5], seating.START, seating.START, 0)
+    for i in range(1, burn_in + samples + 1):
+        old = [x for x in (root, state) if x is not None and not any(x is y for k in kept for y in k)]
+        state = stored(swept(held, root, known, state, buckets, slices), spark)
+        root = stored(root_seats(words, piece(state, "rise", 1), slices, known, i), spark)
+        up, own = _summed(state), _summed(root)
+        level1 = seating.drawn_parameters(up[:grid], up[grid:].reshape(grid, -1), i << 8 | 7) if len(up) > grid + 5 else seating.START
+        level0 = seating.drawn_parameters(own[5:], seating.restaurant_logs(own[1:2].astype(np.int64), own[2:3].astype(np.int64), np.ones(1)), i << 8 | 8)
+        known = _Root(own[:5], level0, level1, i)
+        for x in old:
+            drop(spark, x)
+        if i > burn_in:
+            kept.append((state, root, known))
+    return kept
 
 
 def score_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, samples: int = SAMPLES, burn_in: int = BURN_IN) -> DataFrame:
     """The fixed base score and the model's score of every whole text; see the module."""
     spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, min(spark.sparkContext.defaultParallelism, size >> 20), -(-size // bucket_bytes))
-    k = min(BITS[1], max(BITS[0], int(size // CONTEXT_BYTES).bit_length()))
-    bits = (k, k // 2)
-    grouped = stored(groups(docs, buckets, bits), spark, "uncompressed")
-    held = stored(bucket_counts(grouped, buckets, bits), spark, "uncompressed")
-    lay = _Layout(bits)
-
-    def begin(v, data):
-        x, raw = _seated(data, bits)
-        lay.add(v[: lay.size], x)
-        v[lay.size : lay.size + lay.cells] += np.bincount(x.cell, x.c2, lay.cells).astype(np.int64)
-        v[-1] += raw.sum()
-
-    v = _sums(held, lay.size + lay.cells + 1, begin)
-    n, c2 = int(v[-1]), v[lay.size : lay.size + lay.cells]
-    v, c2 = spark.sparkContext.broadcast(v[: lay.size]), spark.sparkContext.broadcast(c2)
-
-    def burnt(out, data):
-        x, s = _seated(data, bits)[0], lay.totals(v.value, c2.value)
-        for i in range(burn_in):
-            x.sweep(s, i)
-        lay.add(out, x)
-
-    warm = spark.sparkContext.broadcast(_sums(held, lay.size, burnt))
-
-    def states(data):
-        """The kept states of a bucket, one after another; the same ones each time."""
-        x, raw = _seated(data, bits)
-        s = lay.totals(warm.value, c2.value)
-        for i in range(burn_in + samples):
-            x.sweep(s, burn_in + i)
-            if i >= burn_in:
-                yield i - burn_in, x, raw
-
-    def sampled(out, data):
-        for i, x, _ in states(data):
-            lay.add(out[i * lay.size : (i + 1) * lay.size], x)
-
-    own = spark.sparkContext.broadcast(_sums(held, samples * lay.size, sampled))
-
-    def answered(batches):
-        for b in batches:
-            for bucket, counts, requests in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                p = 0.0
-                for i, x, raw in states(counts.as_py()):
-                    p = p + x.predict(lay.totals(own.value[i * lay.size : (i + 1) * lay.size], c2.value))
-                logs = np.log10(p / samples).astype(np.float32)
-                gids, words, pairs, w, q = unpack(requests.as_py())
-                ends_w, ends_q = np.cumsum(words).tolist(), np.cumsum(pairs).tolist()
-                for g, i, j, y, z in zip(gids.view(np.int64).tolist(), [0, *ends_w], ends_w, [0, *ends_q], ends_q):
-                    yield table(ANSWERS, gid=[g], bucket=[bucket], payload=[pack(logs[np.cumsum(q[y:z]) - 1], raw[np.cumsum(w[i:j]) - 1])])
-
-    words = int(own.value[lay.size - 1])
+    buckets = max(4, min(cores, size >> 20), -(-size // bucket_bytes))
+    slices = max(1, min(cores, size >> 20), -(-size // SLICE_BYTES))
+    with shuffles_dropped(spark):
+        held = stored(bucket_counts(groups(docs, buckets), buckets, slices), spark, "uncompressed")
+        kept = sampled(held, buckets, slices, samples, burn_in)
+    n, words = kept[-1][2].n, kept[-1][2].words
 
     def finish(rows: list[bytes]) -> dict:
         """The documents of one group from its own row and the answers of the buckets, in order."""
-        ids, null, doc, times, per = unpack(rows[0])
+        ids, null, doc, times = unpack(rows[0])
         logs, raw = (np.concatenate(x) for x in zip(*(unpack(x) for x in rows[1:])))
         ids = [None if z else int(i) for i, z in zip(ids.view(np.int64), null)]
-        m, tokens_ = len(ids), np.repeat(np.repeat(np.arange(len(per)), per), times)
-        base = np.log10((raw + 0.5) / (n + 0.5 * (words + 1)))[tokens_]
-        return dict(doc_id=ids, held_out=held_out(ids), n_tokens=np.bincount(doc, minlength=m), n_known=per_doc((raw > 0)[tokens_], doc, m), train_tokens=np.full(m, n), base_score=np.bincount(doc, base, m), score=np.bincount(doc, np.repeat(logs.astype(float), times), m))
+        m, base = len(ids), np.log10((raw + 0.5) / (n + 0.5 * (words + 1)))
+        sums = lambda x: np.bincount(doc, np.repeat(x.astype(float), times), m)
+        return dict(doc_id=ids, held_out=held_out(ids), n_tokens=np.bincount(doc, minlength=m), n_known=per_doc(np.repeat(raw > 0, times), doc, m), train_tokens=np.full(m, n), base_score=sums(base), score=sums(logs))
 
     def run(batches):
         for _, t in by_key(batches, ["gid"]):
             order = np.argsort(t["bucket"].to_numpy(), kind="stable")
             yield table(SCORES, **finish([t["payload"][int(i)].as_py() for i in order]))
 
-    answers = held.select("bucket", "counts", "requests").mapInArrow(released(answered), ANSWERS)
-    both = grouped.select("gid", F.lit(-1).alias("bucket"), F.col("docs").alias("payload")).unionByName(answers)
-    return both.repartition(max(1, -(-size // (4 * GROUP_BYTES)), spark.sparkContext.defaultParallelism), "gid").sortWithinPartitions("gid").mapInArrow(released(run), SCORES)
+    own = held.where("docs is not null").select("gid", F.lit(-1).alias("bucket"), F.col("docs").alias("payload"))
+    both = own.unionByName(answers(held, kept, buckets))
+    return both.repartition(max(1, -(-size // (4 * GROUP_BYTES)), cores), "gid").sortWithinPartitions("gid").mapInArrow(released(run), SCORES)
 
 
 def op2_pitman_yor(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Chinese-restaurant seating of a Pitman-Yor hierarchy: contexts, their parents and one root.
+"""Chinese-restaurant seating of a Pitman-Yor hierarchy, and its discounts and strengths.
 
 A dish's customers are seated at tables; only how many tables they take matters for predictions.  With everything else
 fixed, the number of tables t of c customers of a dish has the weight
@@ -10,14 +10,27 @@ drawing t from that distribution; a sweep does so for all dishes of the contexts
 A dish's own customers are first taken out of the levels above it; those levels' other seats and the table totals of
 whole restaurants stay as they are during a sweep.
 
-S is exact up to SMALL customers.  Above, it is exact at a grid of c and interpolated in log c where few tables are likely
+S is exact up to SMALL customers.  Above, it is taken at a grid of c (exact up to EXACT) and interpolated in log c where few tables are likely
 (t up to MANY), and otherwise t is drawn from the normal distribution at the mode of the saddle-point form of S.
 
 Random numbers are hashes of the word, the restaurant and the sweep, so a draw doesn't depend on how words are dealt.
+
+The language model (module pylm) has two levels, the contexts and the root, and takes its steps as exact conditionals:
+
+- The rising factorial above couples the dishes of a restaurant.  A gamma variable y of shape strength / discount + tables,
+  drawn for the restaurant first, takes its place (the gamma function is an integral over y): given y the dishes are
+  independent, with weights S(c, t) * (discount * y * P)^t, so all are drawn at once (`Contexts.sweep`, `root_tables`).
+- The root's measure is drawn from its seats (`root_weights`), and contexts are independent of each other given it.
+- Discount and strength of a level are drawn together from their posterior over a grid (`drawn_parameters`), whose
+  logarithm adds up over restaurants and dishes: sum of log (strength | discount)_t - log (strength)_c over restaurants and
+  of log S(c, t) over dishes.
+
+Seating holds three levels with the block step of the first paragraphs, for totals that are given from outside.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +39,14 @@ from .common import U64, mix
 
 #: Discounts and strengths of root, parents and contexts.
 DISCOUNT, STRENGTH = (0.75, 0.7, 0.7), (1.0, 5.0, 20.0)
-SMALL, MANY = 256, 128
+SMALL, MANY, EXACT = 256, 128, 2048
 BLOCK = 1 << 21
+#: The grid of discounts and strengths, all equally likely before the data; the values that the language model starts with.
+DISCOUNTS, STRENGTHS = np.round(np.arange(0.02, 0.99, 0.04), 2), 2.0 ** (np.arange(-6, 21) / 2)
+START = (0.7, 4.0)
 
 
-@lru_cache(8)
+@lru_cache(32)
 def stirling(d: float) -> np.ndarray:
     """Logarithms of S(c, t) for 1 <= t <= c <= SMALL, at [c, t - 1]; minus infinity elsewhere."""
     out = np.full((SMALL + 1, SMALL), -np.inf)
@@ -43,15 +59,18 @@ def stirling(d: float) -> np.ndarray:
     return out
 
 
-@lru_cache(8)
+@lru_cache(32)
 def stirling_grid(d: float) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of c (a grid from SMALL up) and of S(c, t) / S(c, 1) for t up to MANY."""
+    """Logarithms of c (a grid from SMALL up) and of S(c, t) / S(c, 1) for t up to MANY; by the recursion up to EXACT."""
     at = np.unique(np.round(SMALL * 2 ** (np.arange(0, 37) / 4)).astype(int))
     row, t, rows, want = stirling(d)[SMALL, :MANY].copy(), np.arange(1, MANY + 1), [], set(at.tolist())
-    for c in range(SMALL, int(at[-1]) + 1):
+    for c in range(SMALL, EXACT + 1):
         if c in want:
             rows.append(row - row[0])
         row = np.logaddexp(row + np.log(c - t * d), np.concatenate([[-np.inf], row[:-1]]))
+    more = at[at > EXACT]
+    far = log_stirling(np.repeat(more, MANY), np.tile(t, len(more)), d).reshape(-1, MANY)
+    rows.extend(far - far[:, :1])
     return np.log(at), np.array(rows)
 
 
@@ -62,8 +81,9 @@ def _drawn(logs: np.ndarray, u: np.ndarray) -> np.ndarray:
     return 1 + (p < (u * p[:, -1])[:, None]).sum(1)
 
 
-def _mode(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mode and deviation of t by the saddle-point form of S; c customers, a = strength / discount + other tables."""
+def _mode(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, grow: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Mode and deviation of t by the saddle-point form of S; c customers, a = strength / discount + other tables, to
+    which own tables are added (grow = 1), or a gamma variable (grow = 0)."""
     lo, hi = np.full(len(c), -60.0), np.full(len(c), -1e-9)  # log(1 - z)
     for _ in range(50):
         at = (lo + hi) / 2
@@ -71,24 +91,25 @@ def _mode(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float) -> tuple[np.nda
         ud = np.exp(d * at)
         phi = (1 - u) * d * ud / u / (1 - ud)
         t = c / phi
-        up = (1 - ud) * p * (a + t) > t  # more tables are likelier
+        up = (1 - ud) * p * (a + grow * t) > t  # more tables are likelier
         hi, lo = np.where(up, hi, at), np.where(up, at, lo)
     u = np.exp((lo + hi) / 2)
     z, ud = 1 - u, u**d
     phi = z * d * ud / u / (1 - ud)
     t = np.clip(c / phi, 1, c)
-    curve = (c / t**2) / np.maximum(1 + z * (1 - d) / u - phi, 1e-12) + 1 / t - 1 / (a + t)
+    curve = (c / t**2) / np.maximum(1 + z * (1 - d) / u - phi, 1e-12) + 1 / t - grow / (a + t)
     return t, 1 / np.sqrt(np.maximum(curve, 1e-12))
 
 
-def tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float, d: float, u: np.ndarray) -> np.ndarray:
+def tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float, d: float, u: np.ndarray, mass: np.ndarray | None = None) -> np.ndarray:
     """A number of tables for every dish of c customers.  others: the restaurant's tables of other dishes; p: the dish's
-    probability at the parent; u: uniform numbers."""
+    probability at the parent; u: uniform numbers; mass: the restaurant's gamma variable, which replaces the tables."""
     t = np.minimum(c, 1)
     many = np.flatnonzero(c > 1)
     if not len(many):
         return t
-    a, lp = strength / d + others, np.log(d * p)
+    a, grow = (strength / d + others, 1) if mass is None else (mass, 0)
+    lp = np.log(d * p)
     small = many[c[many] <= SMALL]
     small = small[np.argsort(c[small], kind="stable")]
     exact = stirling(d)
@@ -96,12 +117,12 @@ def tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float, d:
         n = int(c[rows[0]])
         for i in range(0, len(rows), max(1, BLOCK // n)):
             r = rows[i : i + max(1, BLOCK // n)]
-            steps = np.log(a[r, None] + np.arange(n)) + lp[r, None]
+            steps = np.log(a[r, None] + grow * np.arange(n)) + lp[r, None]
             t[r] = _drawn(exact[n, :n] + np.cumsum(steps, 1), u[r])
     big = many[c[many] > SMALL]
     for i in range(0, len(big), BLOCK // MANY):
         r = big[i : i + BLOCK // MANY]
-        mode, deviation = _mode(c[r].astype(float), a[r], p[r], d)
+        mode, deviation = _mode(c[r].astype(float), a[r], p[r], d, grow)
         few = mode + 8 * deviation < MANY
         f = r[few]
         if len(f):
@@ -109,7 +130,7 @@ def tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float, d:
             x = np.clip(np.log(c[f]), grid[0], grid[-1])
             k = np.clip(np.searchsorted(grid, x, "right") - 1, 0, len(grid) - 2)
             w = ((x - grid[k]) / (grid[k + 1] - grid[k]))[:, None]
-            steps = np.log(a[f, None] + np.arange(MANY)) + lp[f, None]
+            steps = np.log(a[f, None] + grow * np.arange(MANY)) + lp[f, None]
             t[f] = _drawn((1 - w) * logs[k] + w * logs[k + 1] + np.cumsum(steps, 1), u[f])
         o = r[~few]
         if len(o):
@@ -195,3 +216,134 @@ class Seating:
         p0 = self.root(s, self.c0, self.t0)
         p1 = self.parent(s, self.par, self.c1, self.t1, p0[self.word1])
         return (self.c2 - DISCOUNT[2] * self.t2 + (STRENGTH[2] + DISCOUNT[2] * s.t2[self.cell]) * p1[self.up]) / (STRENGTH[2] + s.c2[self.cell])
+
+
+def uniforms(key: np.ndarray, draw: int) -> np.ndarray:
+    """Uniform numbers between 0 and 1 by the hash of a key and the number of the draw."""
+    return ((mix(key ^ mix(np.full(1, draw + 1, U64))) >> U64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def gammas(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Gamma variables by Marsaglia and Tsang's rejection; shapes below one by way of one more."""
+    low = shape < 1
+    d = shape + low - 1 / 3
+    out, left, draw = np.empty(len(d)), np.arange(len(d)), 1
+    while len(left):
+        u, v, w = (uniforms(key[left], draw + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        y = (1 + x / np.sqrt(9 * d[left])) ** 3
+        fit = (y > 0) & (np.log(w) < 0.5 * x * x + d[left] * (1 - y + np.log(np.maximum(y, 1e-300))))
+        out[left[fit]] = (d[left] * y)[fit]
+        left, draw = left[~fit], draw + 3
+    return np.where(low, out * uniforms(key, 0) ** (1 / shape), out)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the gamma function for x > 0, by Stirling's series at x + 8."""
+    y = x + 8.0
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def _few(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of S(c, t) by the expansion of its generating function, ((1 - (1 - z)^d) / d)^t / t!, in powers of
+    (1 - z)^d: for t well below c^d, where the terms fall fast."""
+    total, lead = np.zeros(len(c)), log_gamma(c - d)
+    factorial = np.append(0.0, np.cumsum(np.log(np.arange(1, int(t.max(initial=0)) + 1))))
+    for j in range(1, min(64, int(t.max(initial=0))) + 1):
+        size = factorial[t] - factorial[np.maximum(t - j, 0)] + log_gamma(c - d * j) - lead + math.lgamma(1 + d * j) - math.lgamma(j + 1)
+        term = np.where(t >= j, np.sin(np.pi * d * j) / np.pi * np.exp(size), 0.0)
+        total += (-1) ** (j + 1) * term
+        if (np.exp(size) <= 1e-13 * total).all():
+            break
+    return lead - factorial[t] - t * np.log(d) + np.log(total)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of S(c, t) for 1 <= t <= c: exact up to SMALL customers, else by an expansion for few tables or by the
+    saddle point."""
+    out = np.zeros(len(c))
+    small = c <= SMALL
+    out[small] = stirling(d)[c[small], t[small] - 1]
+    few = ~small & (t < (2 if d < 0.75 else 0.75) * c**d)  # beyond, the terms fall too slowly
+    out[few] = _few(c[few].astype(float), t[few], d)
+    at = np.flatnonzero(~small & ~few & (t < c))
+    c, t = c[at].astype(float), t[at].astype(float)
+    lo, hi = np.full(len(c), -60.0), np.full(len(c), -1e-9)  # log(1 - z)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        u, ud = np.exp(mid), np.exp(d * mid)
+        far = (1 - u) * d * ud / u / (1 - ud) > c / t
+        lo, hi = np.where(far, mid, lo), np.where(far, hi, mid)
+    u = np.exp((lo + hi) / 2)
+    z, ud = 1 - u, u**d
+    wide = np.maximum(1 + z * (1 - d) / u - c / t, 1e-12)
+    out[at] = log_gamma(c + 1) - log_gamma(t + 1) + t * np.log((1 - ud) / d) - c * np.log(z) - 0.5 * np.log(2 * np.pi * c * wide)
+    return out
+
+
+def dish_logs(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The dishes' part of the logarithm of the posterior, for every discount of the grid."""
+    many = c > 1  # a single customer has one way to sit
+    key, n = np.unique(c[many] << 32 | t[many], return_counts=True)
+    return np.array([log_stirling(key >> 32, key & (1 << 32) - 1, float(d)) @ n for d in DISCOUNTS])
+
+
+def restaurant_logs(c: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The restaurants' part, for every discount and strength of the grid; n: how many have c customers and t tables."""
+
+    def added(v, f):
+        v, at = np.unique(v, return_inverse=True)
+        return f(v[None].astype(float)) @ np.bincount(at, n, len(v))
+
+    c, t, n = c[c > 0], t[c > 0], n[c > 0]
+    out = np.empty((len(DISCOUNTS), len(STRENGTHS)))
+    s = STRENGTHS[:, None]
+    seated = added(c, lambda v: log_gamma(s + v) - log_gamma(s)) if len(c) else 0.0
+    for i, d in enumerate(DISCOUNTS):
+        out[i] = (added(t, lambda v: v * np.log(d) + log_gamma(s / d + v) - log_gamma(s / d)) if len(c) else 0.0) - seated
+    return out
+
+
+def drawn_parameters(dishes: np.ndarray, restaurants: np.ndarray, key: int) -> tuple[float, float]:
+    """Discount and strength of a level, drawn from their posterior over the grid."""
+    logs = (dishes[:, None] + restaurants).ravel()
+    p = np.cumsum(np.exp(logs - logs.max()))
+    i = int((p < uniforms(np.full(1, key, U64), 0)[0] * p[-1]).sum())
+    return float(DISCOUNTS[i // len(STRENGTHS)]), float(STRENGTHS[i % len(STRENGTHS)])
+
+
+class Contexts:
+    """Whole restaurants of some contexts: the dishes with more than one customer (the others have a table a customer).
+    name, dish: hashes of the contexts and of the dishes' words; place: the dish's context; c: its customers; single: the
+    contexts' customers of all other dishes."""
+
+    def __init__(self, name: np.ndarray, single: np.ndarray, place: np.ndarray, dish: np.ndarray, c: np.ndarray):
+        self.name, self.single, self.place, self.dish, self.c = name, single, place, dish, c
+        self.t = np.ones(len(c), np.int64)
+
+    def customers(self) -> np.ndarray:
+        return self.single + np.bincount(self.place, self.c, len(self.name)).astype(np.int64)
+
+    def tables(self) -> np.ndarray:
+        return self.single + np.bincount(self.place, self.t, len(self.name)).astype(np.int64)
+
+    def sweep(self, above: np.ndarray, discount: float, strength: float, number: int) -> None:
+        """Seats all customers anew.  above: the words' probabilities in the root's drawn measure."""
+        mass = gammas(strength / discount + self.tables(), mix(self.name) ^ mix(np.full(1, number << 8 | 1, U64)))
+        u = uniforms(mix(self.dish) ^ mix(self.name[self.place] ^ U64(number << 8 | 2)), 0)
+        self.t = tables(self.c, self.c, above, strength, discount, u, mass[self.place])
+
+
+def root_tables(name: np.ndarray, c: np.ndarray, mass: float, words: int, discount: float, strength: float, number: int) -> np.ndarray:
+    """Tables of the root's dishes; the base measure is even over the known words and the class of all others."""
+    u = uniforms(mix(name) ^ mix(np.full(1, number << 8 | 3, U64)), 0)
+    return tables(c, c, np.full(len(c), 1 / (words + 1)), strength, discount, u, np.full(len(c), mass))
+
+
+def root_weights(name: np.ndarray, c: np.ndarray, t: np.ndarray, discount: float, number: int) -> np.ndarray:
+    """Gamma variables whose shares are the known words' weights in the root's measure; 0 for unknown words."""
+    out = np.zeros(len(c))
+    known = np.flatnonzero(c)
+    out[known] = gammas(c[known] - discount * t[known], mix(name[known]) ^ mix(np.full(1, number << 8 | 4, U64)))
+    return out

@@ -85,3 +85,49 @@ def test_seating_does_not_depend_on_how_words_are_dealt():
         for x in (whole, *parts):
             x.sweep(s, i)
     assert np.array_equal(whole.predict(s), np.concatenate([x.predict(s) for x in parts]))
+
+
+def test_contexts_have_the_exact_joint_distribution():
+    """A restaurant's dishes, swept with its gamma variable, against all states of three dishes."""
+    c, p, d, strength = np.array([2, 3, 4]), np.array([0.2, 0.05, 0.4]), 0.6, 1.5
+    n = 4000  # restaurants that differ by name alone
+    x = seating.Contexts(seating.mix(np.arange(1, n + 1).astype(np.uint64)), np.ones(n, np.int64), np.repeat(np.arange(n), 3), np.tile(np.arange(7, 10), n).astype(np.uint64), np.tile(c, n))
+    seen = []
+    for i in range(12):
+        x.sweep(np.tile(p, n), d, strength, i)
+        if i > 3:
+            seen.append(x.t.reshape(n, 3).mean(0))
+    want, total = np.zeros(3), 0.0
+    for t in np.ndindex(*c):
+        t = np.array(t) + 1
+        w = math.prod(strength + d * j for j in range(1 + t.sum())) * math.prod(math.exp(seating.stirling(d)[a, b - 1]) * q**b for a, b, q in zip(c, t, p))
+        want, total = want + w * t, total + w
+    assert np.allclose(np.mean(seen, 0), want / total, atol=0.02)
+
+
+def test_parameters_are_learned():
+    """Discount and strength come out near those that a restaurant's customers were seated with."""
+    r, d, strength, seats = np.random.default_rng(5), 0.62, 2.0**2.5, []
+    for i in range(4000):
+        k = r.random() * (strength + i)
+        if k < strength + d * len(seats):
+            seats.append(1)
+        else:
+            seats[r.choice(len(seats), p=(np.array(seats) - d) / (i - d * len(seats)))] += 1
+    one = np.ones(1, np.int64)
+    c = np.array(seats)  # every table is a dish
+    logs = np.array([sum(math.lgamma(n - x) - math.lgamma(1 - x) for n in c) for x in seating.DISCOUNTS])
+    got = seating.drawn_parameters(logs, seating.restaurant_logs(one * c.sum(), one * len(c), one), 1)
+    assert abs(got[0] - d) < 0.1 and strength / 8 < got[1] < strength * 8
+
+
+def test_log_stirling_of_many_customers():
+    for d in (0.3, 0.7, 0.9):
+        s = np.full(600, -np.inf)
+        s[0], t = 0.0, np.arange(1, 601)
+        with np.errstate(divide="ignore"):
+            for n in range(1, 600):
+                s = np.logaddexp(np.where(t <= n, s + np.log(np.maximum(n - t * d, 1e-300)), -np.inf), np.concatenate([[-np.inf], s[:-1]]))
+        few = t[: int(0.7 * 600**d)]
+        assert np.allclose(seating.log_stirling(np.full(len(few), 600), few, d), s[few - 1], atol=1e-6)
+        assert np.abs(seating.log_stirling(np.full(600, 600), t, d) - s).max() < 0.8
