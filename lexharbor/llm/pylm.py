@@ -130,7 +130,7 @@ def groups(docs: DataFrame, buckets: int) -> DataFrame:
                 known = np.array([x is None for x in ids])
                 # scores are sums, so a document's tokens need no order: the documents of each pair's tokens are kept
                 blob = pack(np.array([0 if x is None else x for x in ids], np.int64).view(U64), known, doc[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(pair)))
-                rows.append((seq % buckets, DOCS, blob))
+                rows.append(((part + seq) % buckets, DOCS, blob))
                 bucket, kind, payload = zip(*rows)
                 yield table(GROUPS, bucket=bucket, gid=[(part << 32) + seq] * len(rows), kind=kind, payload=payload)
                 seq += 1
