@@ -18,7 +18,8 @@ partitions.
 Distribution.  Documents are read once, in groups of some megabytes: a group keeps the documents of its tokens, and sends
 each bucket of contexts its distinct (context, word) pairs with their counts.  A bucket holds whole contexts.  It adds the
 counts up and keeps what every group asks for.  Only pairs that occur more than once have seats to draw, so sweeps read
-these alone.  The root is dealt in slices by word: a slice adds up the tables of all buckets and answers each bucket with
+these alone.  Group parts name most words by their places in a list of words frequent in a sample of the texts, the
+others by their whole hashes; the list shortens parts, and no result depends on it.  The root is dealt in slices by word: a slice adds up the tables of all buckets and answers each bucket with
 its words' part.  Sums over everything, a few hundred numbers, pass through the driver.  In the end a bucket answers
 each group with the probabilities of its pairs.  Empty parts aren't sent, so parts are as many as a group's pairs at most.
 A bucket holds all pairs of its contexts, so the most frequent word makes the largest task.
@@ -41,18 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import seating
-from .common import U64, by_bucket, by_key, chunks, drop, pack, per_doc, read_texts, released, schema, shuffles_dropped, stored, table, texts, unpack
+from .common import U64, by_bucket, by_key, chunks, drop, drop_part, pack, per_doc, read_texts, released, schema, shuffles_dropped, stored, table, texts, unpack
 
 SAMPLES, BURN_IN = 3, 3
 GROUP_BYTES, BUCKET_BYTES, REQUESTS = 9 << 20, 12 << 20, 4 << 20
 #: Bytes of text whose words stand in one slice of the root.
 SLICE_BYTES = 128 << 20
+#: Words of the list by which group parts name words (2 bytes each), and bytes of text of the sample it is made from.
+LISTED, LIST_BYTES = (1 << 16) - 1, 32 << 20
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0x13198A2E03707344)
 LOW = (1 << 32) - 1
 PIECES = T.ArrayType(T.StructType([T.StructField("to", T.IntegerType()), T.StructField("payload", T.BinaryType())]))
-DOCS, PARTS = 0, 1
+DOCS, PARTS, COUNTS, BUSY, REQUESTED, WORDS = range(6)
 GROUPS = schema("bucket:int,gid:long,kind:int,payload:binary")
-BUCKETS = T.StructType([*schema("bucket:int,gid:long,first:boolean,docs:binary,counts:binary,busy:binary,requests:binary").fields, T.StructField("words", PIECES)])
+FOUND = schema("word:long,n:long")
 ROOT = schema("slice:int,bucket:int,drawn:binary,seats:binary,sums:binary")
 STATE = T.StructType([*schema("bucket:int,seats:binary").fields, T.StructField("rise", PIECES), T.StructField("sums", T.BinaryType())])
 SUMS = schema("sums:binary")
@@ -99,20 +102,46 @@ def _gaps(sorted_names: np.ndarray) -> np.ndarray:
     return np.diff(sorted_names, prepend=U64(0))
 
 
-def _part(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bytes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of mostly two bytes as high and low ones, which compress better apart."""
+    return x >> 8, x & 255
+
+
+def listed(docs: DataFrame, size: int) -> np.ndarray:
+    """The words that stand in most contexts of a sample of the texts, most first."""
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b.column(1)):
+                names, code, ctx, _ = tokens(c)
+                n = np.bincount(np.unique(ctx << 32 | code) & LOW, minlength=len(names))
+                yield table(FOUND, word=names[n > 0].view(np.int64), n=n[n > 0])
+
+    some = docs.sample(min(1.0, LIST_BYTES / max(size, 1)), seed=0)
+    top = texts(some).mapInArrow(released(run), FOUND).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(LISTED)
+    return np.array([r.word for r in top.collect()], np.int64).view(U64)
+
+
+def _places(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of hashes in the list, from one; 0: not listed."""
+    if not len(known):
+        return np.zeros(len(names), np.int64)
+    order = np.argsort(known)
+    at = order[np.minimum(np.searchsorted(known, names, sorter=order), len(known) - 1)]
+    return np.where(known[at] == names, at + 1, 0)
+
+
+def _part(data: bytes, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words, and the places of both and the count of every pair of a group's part."""
-    ctx, per, word, count = unpack(data)
+    ctx, per, high, low, rest, count = unpack(data)
+    at = high << 8 | low
+    word = np.empty(len(at), U64)
+    word[at > 0], word[at == 0] = known[at[at > 0] - 1], rest
     names, place = np.unique(word, return_inverse=True)
     return np.cumsum(ctx, dtype=U64), names, np.repeat(np.arange(len(per)), per), place, count
 
 
-def _pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As _part, of a bucket's counts, which name every word once."""
-    ctx, per, word, place, count = unpack(data)
-    return np.cumsum(ctx, dtype=U64), np.cumsum(word, dtype=U64), np.repeat(np.arange(len(per)), per), place, count
-
-
-def groups(docs: DataFrame, buckets: int) -> DataFrame:
+def groups(docs: DataFrame, buckets: int, known: np.ndarray) -> DataFrame:
     def run(batches):
         seq, part = 0, TaskContext.get().partitionId()
         for b in batches:
@@ -123,13 +152,13 @@ def groups(docs: DataFrame, buckets: int) -> DataFrame:
                 pair, code = np.unique(ctx << 32 | code, return_inverse=True)
                 count = np.bincount(code[~out[doc]], minlength=len(pair))
                 owner, word = pair >> 32, pair & LOW
-                rows = []
+                rows, at = [], _places(names, known)[word]
                 for k, i, j in _ranges(_dealt(names, buckets)[owner]):
                     own, per = np.unique(owner[i:j], return_counts=True)
-                    rows.append((k, PARTS, pack(_gaps(names[own]), per, names[word[i:j]], count[i:j])))
-                known = np.array([x is None for x in ids])
+                    rows.append((k, PARTS, pack(_gaps(names[own]), per, *_bytes(at[i:j]), names[word[i:j][at[i:j] == 0]], count[i:j])))
+                null = np.array([x is None for x in ids])
                 # scores are sums, so a document's tokens need no order: the documents of each pair's tokens are kept
-                blob = pack(np.array([0 if x is None else x for x in ids], np.int64).view(U64), known, doc[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(pair)))
+                blob = pack(np.array([0 if x is None else x for x in ids], np.int64).view(U64), null, *_bytes(doc[np.argsort(code, kind="stable")]), np.bincount(code, minlength=len(pair)))
                 rows.append(((part + seq) % buckets, DOCS, blob))
                 bucket, kind, payload = zip(*rows)
                 yield table(GROUPS, bucket=bucket, gid=[(part << 32) + seq] * len(rows), kind=kind, payload=payload)
@@ -150,49 +179,50 @@ def _added(held: tuple, more: list[tuple]) -> tuple:
     return ctx, word, key, np.bincount(which, np.concatenate([held[3], *(x[4] for x in more)]), len(key)).astype(np.int64)
 
 
-def bucket_counts(grouped: DataFrame, buckets: int, slices: int) -> DataFrame:
-    """Per bucket its pairs and counts, those with seats to draw, its words for the root, and for each group the places of
-    the group's pairs; the groups' documents pass through."""
+def bucket_counts(grouped: DataFrame, buckets: int, slices: int, known: np.ndarray) -> DataFrame:
+    """Per bucket its pairs' places and counts, those with seats to draw, its words for each slice of the root, and for each
+    group the places of the group's pairs; the groups' documents pass through."""
 
-    def row(bucket, gid, first=False, docs=None, counts=None, busy=None, requests=None, words=()):
-        return table(BUCKETS, bucket=[bucket], gid=[gid], first=[first], docs=[docs], counts=[counts], busy=[busy], requests=[requests], words=[list(words)])
+    def row(bucket, gid, kind, payload):
+        return table(GROUPS, bucket=[bucket], gid=[gid], kind=[kind], payload=[payload])
 
     def run(batches):
         for all_ in by_bucket(batches):
             for x in all_:
                 if x[1] == DOCS:
-                    yield row(x[3], x[0], docs=x[2])
+                    yield row(x[3], x[0], DOCS, x[2])
             own = [x for x in all_ if x[1] == PARTS]
             if not own:
                 continue
             held = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for i in range(0, len(own), 16):
-                held = _added(held, [_part(x[2]) for x in own[i : i + 16]])
+                held = _added(held, [_part(x[2], known) for x in own[i : i + 16]])
             names, words, key, count = held
             ctx, word = key >> 32, key & LOW
             many = count > 1
-            counts = pack(_gaps(names), np.bincount(ctx, minlength=len(names)), _gaps(words), word, count)
+            yield row(own[0][3], 0, COUNTS, pack(np.bincount(ctx, minlength=len(names)), word, count))
             # a context without pairs to draw has a table a customer; how many there are of each size is enough
             single, per = np.bincount(ctx, count == 1, len(names)).astype(np.int64), np.bincount(ctx[many], minlength=len(names))
             idle, times = np.unique(single[per == 0], return_counts=True)
             drawn, place = np.unique(word[many], return_inverse=True)
-            busy = pack(_gaps(names[per > 0]), single[per > 0], per[per > 0], _gaps(words[drawn]), place, count[many], idle, times)
+            yield row(own[0][3], 0, BUSY, pack(_gaps(names[per > 0]), single[per > 0], per[per > 0], _gaps(words[drawn]), place, count[many], idle, times))
             asks = np.zeros(len(words), bool)
             asks[drawn] = True
             rise, raw = np.bincount(word, count > 0, len(words)).astype(np.int64), np.bincount(word, count, len(words)).astype(np.int64)
-            to = [{"to": k, "payload": pack(_gaps(words[i:j]), rise[i:j], raw[i:j], asks[i:j])} for k, i, j in _ranges(_dealt(words, slices))]
-            first, gids, sizes, asked, n = True, [], [], [], 0
+            for k, i, j in _ranges(_dealt(words, slices)):
+                yield row(k, own[0][3], WORDS, pack(_gaps(words[i:j]), rise[i:j], raw[i:j], asks[i:j]))
+            gids, sizes, asked, n = [], [], [], 0
             for i, x in enumerate(own):
-                own_ctx, own_word, a, z, _ = _part(x[2])
+                own_ctx, own_word, a, z, _ = _part(x[2], known)
                 p = np.searchsorted(key, np.searchsorted(names, own_ctx)[a] << 32 | np.searchsorted(words, own_word)[z])
                 gids.append(x[0]), sizes.append(len(p)), asked.append(np.diff(p, prepend=-1))
                 n += len(p)
                 if n >= REQUESTS or i == len(own) - 1:
                     requests = pack(np.array(gids, np.int64).view(U64), np.array(sizes), np.concatenate(asked))
-                    yield row(x[3], None, True, None, counts, busy, requests, to) if first else row(x[3], None, requests=requests)
-                    first, gids, sizes, asked, n = False, [], [], [], 0
+                    yield row(x[3], i, REQUESTED, requests)
+                    gids, sizes, asked, n = [], [], [], 0
 
-    return grouped.repartition(buckets, "bucket").mapInArrow(released(run), BUCKETS)
+    return grouped.repartition(buckets, "bucket").mapInArrow(released(run), GROUPS)
 
 
 class _Root:
@@ -267,7 +297,7 @@ def _row(df: DataFrame, kind: int, payload: str, gid=None) -> DataFrame:
 
 def swept(held: DataFrame, root: DataFrame, known: _Root, state: DataFrame | None, buckets: int, slices: int) -> DataFrame:
     """One sweep over all contexts: their seats, the tables beyond the first by word for the root, and sums."""
-    rows = _row(held.where("first"), 0, "busy").unionByName(_row(root.where("bucket is not null"), 1, "drawn", F.col("slice")))
+    rows = _row(held.where(F.col("kind") == BUSY), 0, "payload").unionByName(_row(root.where("bucket is not null"), 1, "drawn", F.col("slice")))
     if state is not None:
         rows = rows.unionByName(_row(state, 2, "seats"))
 
@@ -292,7 +322,7 @@ def swept(held: DataFrame, root: DataFrame, known: _Root, state: DataFrame | Non
 
 def answers(held: DataFrame, kept: list[tuple[DataFrame, DataFrame, _Root]], buckets: int) -> DataFrame:
     """For each group and bucket the logarithms of the group's pairs under the kept states and their words' counts."""
-    rows = _row(held.where("first"), 0, "counts").unionByName(_row(held.where("requests is not null"), 1, "requests"))
+    rows = _row(held.where(F.col("kind") == COUNTS), 0, "payload").unionByName(_row(held.where(F.col("kind") == REQUESTED), 1, "payload", F.col("gid")))
     for s, (state, root, _) in enumerate(kept):
         rows = rows.unionByName(_row(state, 2, "seats", F.lit(s))).unionByName(_row(root.where("bucket is not null"), 3, "seats", F.col("slice") + F.lit(s << 32)))
     known = [x for _, _, x in kept]
@@ -300,15 +330,15 @@ def answers(held: DataFrame, kept: list[tuple[DataFrame, DataFrame, _Root]], buc
     def run(batches):
         for own in by_bucket(batches):
             by = {k: [(x[0], x[2]) for x in own if x[1] == k] for k in range(4)}
-            names, _, ctx, word, count = _pairs(by[0][0][1])
-            many, p = count > 1, 0.0
-            c1 = np.bincount(ctx, count, len(names))
+            per, word, count = unpack(by[0][0][1])
+            ctx, many, p = np.repeat(np.arange(len(per)), per), count > 1, 0.0
+            c1 = np.bincount(ctx, count, len(per))
             for s, state in by[2]:
                 c0, t0, raw = (np.concatenate(x) for x in zip(*(unpack(d) for g, d in by[3] if g >> 32 == s)))
                 t = np.minimum(count, 1)
                 t[many] = unpack(state)[0]
                 discount, strength = known[s].level1
-                back = (strength + discount * np.bincount(ctx, t, len(names))) / (strength + c1)
+                back = (strength + discount * np.bincount(ctx, t, len(per))) / (strength + c1)
                 p = p + (count - discount * t) / (strength + c1)[ctx] + back[ctx] * known[s].predict(c0, t0)[word]
             logs, raw = np.log10(p / len(known)).astype(np.float32), raw[word]
             for _, data in by[1]:
@@ -324,14 +354,14 @@ def answers(held: DataFrame, kept: list[tuple[DataFrame, DataFrame, _Root]], buc
 def sampled(held: DataFrame, buckets: int, slices: int, samples: int, burn_in: int) -> list[tuple[DataFrame, DataFrame, _Root]]:
     """The kept states: the contexts' seats, the root's, and what all tasks know."""
     spark, kept = held.sparkSession, []
-    piece = lambda df, column, kind: df.select("bucket", F.explode(column).alias("x")).select(F.col("x.to").alias("bucket"), F.col("bucket").cast("long").alias("gid"), F.lit(kind).alias("kind"), F.col("x.payload").alias("payload"))
-    words = piece(held.where("first"), "words", 0)
+    rise = lambda df: df.select("bucket", F.explode("rise").alias("x")).select(F.col("x.to").alias("bucket"), F.col("bucket").cast("long").alias("gid"), F.lit(1).alias("kind"), F.col("x.payload").alias("payload"))
+    words = _row(held.where(F.col("kind") == WORDS), 0, "payload", F.col("gid"))
     root, state, grid = stored(root_seats(words, None, slices, None, 0), spark), None, len(seating.DISCOUNTS)
     known = _Root(_summed(root)[:5], seating.START, seating.START, 0)
     for i in range(1, burn_in + samples + 1):
         old = [x for x in (root, state) if x is not None and not any(x is y for k in kept for y in k)]
         state = stored(swept(held, root, known, state, buckets, slices), spark)
-        root = stored(root_seats(words, piece(state, "rise", 1), slices, known, i), spark)
+        root = stored(root_seats(words, rise(state), slices, known, i), spark)
         up, own = _summed(state), _summed(root)
         level1 = seating.drawn_parameters(up[:grid], up[grid:].reshape(grid, -1), i << 8 | 7) if len(up) > grid + 5 else seating.START
         level0 = seating.drawn_parameters(own[5:], seating.restaurant_logs(own[1:2].astype(np.int64), own[2:3].astype(np.int64), np.ones(1)), i << 8 | 8)
@@ -351,16 +381,23 @@ def score_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, samples: int
     buckets = max(4, min(cores, size >> 20), -(-size // bucket_bytes))
     slices = max(1, min(cores, size >> 20), -(-size // SLICE_BYTES))
     with shuffles_dropped(spark):
-        held = stored(bucket_counts(groups(docs, buckets), buckets, slices), spark, "uncompressed")
+        known = listed(docs, size)
+        held = stored(bucket_counts(groups(docs, buckets, known), buckets, slices, known), spark, "uncompressed", by="kind")
         kept = sampled(held, buckets, slices, samples, burn_in)
+        drop_part(spark, held, f"kind={BUSY}", f"kind={WORDS}")
+        replies = stored(answers(held, kept, buckets), spark, "uncompressed")
+        drop_part(spark, held, f"kind={COUNTS}", f"kind={REQUESTED}")
+        for state, root, _ in kept:
+            drop(spark, state)
+            drop(spark, root)
     n, words = kept[-1][2].n, kept[-1][2].words
 
     def finish(rows: list[bytes]) -> dict:
         """The documents of one group from its own row and the answers of the buckets, in order."""
-        ids, null, doc, times = unpack(rows[0])
+        ids, null, high, low, times = unpack(rows[0])
         logs, raw = (np.concatenate(x) for x in zip(*(unpack(x) for x in rows[1:])))
         ids = [None if z else int(i) for i, z in zip(ids.view(np.int64), null)]
-        m, base = len(ids), np.log10((raw + 0.5) / (n + 0.5 * (words + 1)))
+        doc, m, base = high << 8 | low, len(ids), np.log10((raw + 0.5) / (n + 0.5 * (words + 1)))
         sums = lambda x: np.bincount(doc, np.repeat(x.astype(float), times), m)
         return dict(doc_id=ids, held_out=held_out(ids), n_tokens=np.bincount(doc, minlength=m), n_known=per_doc(np.repeat(raw > 0, times), doc, m), train_tokens=np.full(m, n), base_score=sums(base), score=sums(logs))
 
@@ -369,8 +406,8 @@ def score_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, samples: int
             order = np.argsort(t["bucket"].to_numpy(), kind="stable")
             yield table(SCORES, **finish([t["payload"][int(i)].as_py() for i in order]))
 
-    own = held.where("docs is not null").select("gid", F.lit(-1).alias("bucket"), F.col("docs").alias("payload"))
-    both = own.unionByName(answers(held, kept, buckets))
+    own = held.where(F.col("kind") == DOCS).select("gid", F.lit(-1).alias("bucket"), "payload")
+    both = own.unionByName(replies)
     return both.repartition(max(1, -(-size // (4 * GROUP_BYTES)), cores), "gid").sortWithinPartitions("gid").mapInArrow(released(run), SCORES)
 
 
