@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip and str.split see it; spelled out because Java's \\s and trim() differ.
@@ -15,19 +15,30 @@ LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 VOTE_WORD = r"[a-zA-ZÀ-ÿ]+"
 
 
+def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """The kept columns and new ones that are computed once a row.  The optimizer writes a column's expression into every later use
+    of it: into filters, which it moves below the select, and into lambdas, where it is then computed for every element.
+    It does neither through a generator, here of one row; below that stands a select, where equal parts are computed
+    once."""
+    new = df.select(*keep, *columns)
+    return new.select(*keep, F.inline(F.array(F.struct(*new.columns[len(keep) :]))))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^[{SPACES}]+", ""), f"[{SPACES}]+$", "")
 
 
 def _plain_spaces(text: Column) -> Column:
     """All white space as one character: Java matches a negated class with members beyond Latin-1 about six times slower
-    than one of a single character."""
-    return F.translate(text, _SPACE_CHARS, " " * len(_SPACE_CHARS))
+    than one of a single character.  translate() looks every character up, so it is left to texts with characters in the
+    range of the wide spaces."""
+    latin = "".join(f"\\x{ord(c):02x}" for c in _SPACE_CHARS if c != " " and ord(c) < 256)
+    return F.when(text.rlike(r"[\x{1680}-\x{3000}]"), F.translate(text, _SPACE_CHARS, " " * len(_SPACE_CHARS))).otherwise(F.regexp_replace(text, f"[{latin}]", " "))
 
 
 def word_count(text: Column) -> Column:
     """Runs of other characters than white space."""
-    return F.coalesce(F.regexp_count(_plain_spaces(text), F.lit("[^ ]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(_plain_spaces(text), F.lit("[^ ]++")), F.lit(0))
 
 
 def byte_length(text: Column) -> Column:
@@ -36,8 +47,16 @@ def byte_length(text: Column) -> Column:
 
 def tokens(text: Column, least: int = 2) -> Column:
     """Lower-case letter runs with the long s made an s; the length counts after that."""
-    folded = F.transform(F.regexp_extract_all(text, F.lit(LETTERS), 0), lambda t: F.translate(F.lower(t), "ſ", "s"))
-    return F.filter(folded, lambda t: F.length(t) >= least)
+    return F.filter(F.transform(letter_runs(text), folded), lambda t: F.length(t) >= least)
+
+
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LETTERS), 0)
+
+
+def folded(word: Column) -> Column:
+    """replace() and not translate(), which looks every character up."""
+    return F.replace(F.lower(word), F.lit("ſ"), F.lit("s"))
 
 
 def vote_words(text: Column, most: int = 400) -> Column:
@@ -144,9 +163,11 @@ def tei_file_year(name: Column) -> Column:
 
 def word_like_share(text: Column) -> Column:
     """Our own measure: the share of white-space words that are letters with at most edge punctuation."""
-    words = F.regexp_extract_all(_plain_spaces(text), F.lit("[^ ]+"), 0)
-    like = F.filter(words, lambda w: w.rlike(r"^\p{P}*\p{L}+(['’-]\p{L}+)*\p{P}*$"))
-    return F.when(F.size(words) > 0, F.size(like) / F.size(words)).otherwise(F.lit(float("nan")))
+    plain = _plain_spaces(text)
+    words = F.regexp_count(plain, F.lit("[^ ]++"))
+    # Possessive: what stands after each part can't begin in the part itself, so going back never helps.
+    like = F.regexp_count(plain, F.lit(r"(?:^| )\p{P}*+\p{L}++(?:['’-]\p{L}++)*+\p{P}*+(?![^ ])"))
+    return F.coalesce(like / F.nullif(words, F.lit(0)), F.lit(float("nan")))
 
 
 def safe_year(value: Column) -> Column:

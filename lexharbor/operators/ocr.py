@@ -8,11 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .prefix import running_sum
+from .saved import saved
 
 MIN_TOKENS, KEYED_MIN, POOL_DF, POOL_TITLES, POOL_FIRST, RATE, CELL = 20, 2, 50, 5, 1500, 0.02, 400
 # Report periods (years, closed), quantiles, thresholds.
 YEARS = [(1900, 1919), (1920, 1929), (1930, 1933), (1934, 1936), (1937, 1939), (1940, 1955)]
 QUANTILES, THRESHOLDS, BINS = (0.1, 0.25, 0.5, 0.75, 0.9), (0.5, 0.6, 0.7, 0.8), 40
+#: A lexicon is sent to all executors up to this size in memory; an entry takes ENTRY bytes besides its letters.
+SENT, ENTRY = 96 << 20, 88
 
 
 def term_frequency(keyed: DataFrame, least: int = KEYED_MIN) -> DataFrame:
@@ -38,16 +41,32 @@ def pool_only(keyed: DataFrame, pool: DataFrame) -> DataFrame:
     return pool.select("word").join(keyed.select("word"), "word", "left_anti").distinct()
 
 
-def scores(docs: DataFrame, words: DataFrame, keys: list[str], text: str = "text", least: int = MIN_TOKENS) -> DataFrame:
-    """keys, n_tokens, n_hits, score (NaN under `least` tokens).  Tokens are counted per document before the join, so a
-    word meets the lexicon once per document; Spark broadcasts the lexicon if it is small and shuffles it if not."""
-    each = docs.select(*keys, F.explode_outer(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    per = each.groupBy(*keys, "word").agg(F.count("word").alias("n"))
-    met = per.join(words.select("word", F.lit(True).alias("hit")), "word", "left")
-    out = met.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("n_hits"))
+def scores(docs: DataFrame, words: DataFrame, keys: list[str], text: str = "text", least: int = MIN_TOKENS, sent: int = SENT) -> DataFrame:
+    """keys, n_tokens, n_hits, score (NaN under `least` tokens).  The lexicon is saved first.  One of up to `sent` bytes
+    meets the tokens where they are read, so only sums by document are shuffled.  A larger one meets them by word, shuffled
+    once; there, a document sends each of its words once, counted in its row."""
+    read = F.coalesce(F.col(text), F.lit(""))
+    listed = saved(words.select("word"))
+    if (listed.agg(F.sum(F.octet_length("word") + ENTRY)).first()[0] or 0) <= sent:
+        each = docs.select(*keys, F.explode_outer(T.letter_runs(read)).alias("word")).select(*keys, T.folded(F.col("word")).alias("word"))
+        each, listed = each.withColumn("n", F.when(F.length("word") >= 2, 1).otherwise(0)), F.broadcast(listed)
+    else:
+        each = _counted(docs, keys, T.tokens(read))
+    met = each.join(listed.select("word", F.lit(True).alias("hit")), "word", "left")
+    out = met.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("n_hits"))
     return out.withColumn("score", F.when(F.col("n_tokens") >= least, F.col("n_hits") / F.nullif(F.col("n_tokens"), F.lit(0))).otherwise(F.lit(float("nan"))))
 
 
+def _counted(docs: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """keys, word, n: the runs of equal words of each sorted row; a row without words has one NULL."""
+    row = T.once(docs, keys, F.array_sort(words).alias("_t"))
+    at = lambda i: F.get("_t", i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    row = T.once(row, [*keys, "_t"], F.when(F.size("_t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("_s"))
+    runs = F.transform("_s", lambda i, k: F.struct(at(i).alias("word"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - i).alias("n")))
+    return row.select(*keys, F.explode_outer(runs).alias("_r")).select(*keys, "_r.word", "_r.n")
+
+
 def out_of_vocabulary(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Share of tokens outside the lexicon by group."""
     return scored.groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"), (1 - F.sum("n_hits") / F.nullif(F.sum("n_tokens"), F.lit(0))).alias("oov_rate"))

@@ -90,7 +90,7 @@ _LIKE = r"""case when len(ws) > 0 then len(list_filter(ws, lambda w: regexp_matc
 
 @query(f"with {_SCORE}, w as (select doc_id, regexp_extract_all(text, '[^\\x09-\\x0d\\x1c-\\x20\\x{{85}}\\x{{a0}}]+') ws from documents), l as (select doc_id, {_LIKE} word_like from w) select doc_id, round(score, 9) score, round(word_like, 9) word_like from s join l using (doc_id) where not isnan(score) and score >= 0.75 and not isnan(word_like) and word_like >= 0.7")
 def ocr_filter(spark, sf):
-    like = docs(spark, sf, "doc_id", "text").select("doc_id", T.word_like_share(F.col("text")).alias("word_like"))
+    like = T.once(docs(spark, sf, "doc_id", "text"), ["doc_id"], T.word_like_share(F.col("text")).alias("word_like"))
     return O.ocr_filter(_scores(spark, sf).join(like, "doc_id")).select("doc_id", F.round("score", 9).alias("score"), F.round("word_like", 9).alias("word_like"))
 
 
