@@ -30,7 +30,7 @@ def guess(df: DataFrame, keys: list[str], text: str = "text", most: int = 400) -
     words = T.vote_words(F.coalesce(F.col(text), F.lit("")), most)
     lists = {lang: listed.split() for lang, listed in STOPWORDS.items()}
     every = sorted({w for listed in lists.values() for w in listed})
-    found = df.select(*keys, F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(every)).alias("_hits"))
+    found = T.once(df, keys, F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(every)).alias("_hits"))
     among = lambda listed: F.filter("_hits", lambda x: x["w"].isin(listed))
     own = found.select(*keys, *[among(listed).alias(f"_{lang}") for lang, listed in lists.items()])
     first = lambda lang: F.get(f"_{lang}", F.lit(0))["i"]
@@ -39,7 +39,7 @@ def guess(df: DataFrame, keys: list[str], text: str = "text", most: int = 400) -
     out = own.select(*keys, F.array_min(votes)["lang"].alias("_best"), total.alias("_total"), F.size("_en").alias("_votes"))
     known = F.col("_total") >= MIN_VOTES
     share = F.when(known, F.col("_votes") / F.when(known, F.col("_total"))).otherwise(F.lit(float("nan"))).cast("float")
-    return out.select(*keys, F.when(known, F.col("_best")).otherwise("und").alias("lang"), share.alias("en_share"))
+    return T.once(out, keys, F.when(known, F.col("_best")).otherwise("und").alias("lang"), share.alias("en_share"))
 
 
 def is_native_english(lang: Column, share: Column, least: float = MIN_SHARE) -> Column:

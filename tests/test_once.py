@@ -17,6 +17,10 @@ def physical(df):
     return df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_native_english_cuts_words_once(spark, sf):
+    assert plan(entry.queries()["native_english"](spark, sf)).count("regexp_extract_all") == 1
+
+
 def test_word_like_is_computed_once(spark, sf):
     assert plan(entry.queries()["ocr_filter"](spark, sf)).count("(?:^| )") == 1
 
