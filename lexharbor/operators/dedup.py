@@ -17,7 +17,7 @@ def with_shingles(df: DataFrame, text: str, to: str = "s", n: int = SHINGLE) ->
     words are a column of their own, so that they are cut once and not once per use."""
     w = df.withColumn("_w", F.regexp_extract_all(F.col(text), F.lit(_WORDS), 0))
     grams = F.when(F.size("_w") >= n, T.shingles(F.col("_w"), n)).when(F.size("_w") > 0, F.array(F.array_join("_w", " "))).otherwise(F.array().cast("array<string>"))
-    return w.withColumn(to, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).drop("_w")
+    return T.once(w, df.columns, F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias(to))
 
 
 def signature(hashes: Column, n: int = BANDS * ROWS) -> Column:

@@ -55,3 +55,7 @@ def test_scores_by_both_ways(spark):
     assert exchanges and not [line for line in exchanges if "word#" in line]
     exchanges = [line for line in physical(many).split("\n") if "Exchange hashpartitioning" in line]
     assert not [line for line in exchanges if "doc_id#" in line and "word#" in line]
+
+
+def test_minhash_cuts_shingles_once(spark, sf):
+    assert not re.search(r"lambdafunction\([^\n]*array_distinct", plan(entry.queries()["minhash"](spark, sf)))
