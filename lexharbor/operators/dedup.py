@@ -26,6 +26,14 @@ def signature(hashes: Column, n: int = BANDS * ROWS) -> Column:
     return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
 
 
+def minima(df: DataFrame, keys: list[str], hashes: str, n: int) -> DataFrame:
+    """keys, m: the signature as minima by key of rows of one hash, for rows with hashes.  Unlike lambdas, these are
+    compiled; each task keeps only the minima of its keys."""
+    each = df.select(*keys, F.explode(hashes).alias("_v"))
+    least = each.groupBy(*keys).agg(*[F.min(F.xxhash64("_v", F.lit(i))).alias(f"_{i}") for i in range(n)])
+    return least.select(*keys, F.array(*[f"_{i}" for i in range(n)]).alias("m"))
+
+
 def bands(sig: Column, n: int = BANDS, rows: int = ROWS) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), F.slice(sig, b * rows + 1, rows)) for b in range(n)])
 
@@ -42,8 +50,8 @@ def near_duplicate_links(docs: DataFrame, key: str = "doc_id", text: str = "text
     tested against the first one there, which texts that are less alike share less often.  All of it is aggregation and
     equi-joins: a bucket gives one pair per text and never all pairs."""
     first = docs.groupBy(F.xxhash64(text, F.md5(text)).alias("_h")).agg(F.min_by(text, key).alias(text), F.min(key).alias(key))
-    one = saved(with_shingles(first, text).select(key, "s"))
-    sig = one.where(F.size("s") > 0).select(key, signature(F.col("s"), BANDS * ROWS + FINER).alias("m"))
+    one = saved(with_shingles(first, text).select(key, "_h", "s"))
+    sig = minima(one, [key, "_h"], "s", BANDS * ROWS + FINER)
     sig = saved(sig.select(key, F.slice("m", BANDS * ROWS + 1, FINER).alias("fine"), F.explode(bands(F.slice("m", 1, BANDS * ROWS))).alias("band")))
     pairs = _with_first(sig, ["band"], key)
     links = saved(_verified(pairs.select("a", "b").distinct(), one, key, least))

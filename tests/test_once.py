@@ -59,3 +59,12 @@ def test_scores_by_both_ways(spark):
 
 def test_minhash_cuts_shingles_once(spark, sf):
     assert not re.search(r"lambdafunction\([^\n]*array_distinct", plan(entry.queries()["minhash"](spark, sf)))
+
+
+def test_near_duplicate_signatures_are_aggregates(spark):
+    from lexharbor.operators import dedup
+
+    d = spark.createDataFrame([(1, [5, -7, 9]), (2, []), (3, [5]), (4, None)], "k long, s array<long>")
+    got = {r.k: r.m for r in dedup.minima(d, ["k"], "s", 6).collect()}
+    assert got == {r.k: r.m for r in d.where(F.size("s") > 0).select("k", dedup.signature(F.col("s"), 6).alias("m")).collect()}
+    assert "array_min" not in plan(dedup.minima(d, ["k"], "s", 6))
